@@ -205,8 +205,8 @@ def _descent_steps(prefix: str, source: str) -> dict[str, str]:
 
 
 STEPS |= _descent_steps("all_", "feat")
-STEPS |= {"fit": "SELECT * FROM fitted WHERE fit"}
-STEPS |= _descent_steps("fit_", "fit")
+STEPS |= {"fit_rows": "SELECT * FROM fitted WHERE fit"}
+STEPS |= _descent_steps("fit_", "fit_rows")
 STEPS |= {
     "held": "SELECT id, is_duplicate, CASE WHEN bias + " + " + ".join(
         f"w_{c} * ({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END" for c in ("cosine", "edit_sig", "common")
