@@ -24,9 +24,9 @@ from pairloom.operators import regression as rg
 from pairloom.operators import rows as rw
 from pairloom.operators import vectors as vc
 from pairloom.operators import vocabulary as vb
-from pairloom.operators.heads import DenseHead, DistanceHead, run_head
+from pairloom.operators.heads import DenseHead, DistanceHead, joint, run_head
 from pairloom.plans.feature_model import run_feature_model
-from pairloom.plans.sequence_model import run_sequence_model, sequence_sides
+from pairloom.plans.sequence_model import run_sequence_model
 from pairloom.sources import sample_pairs as sp
 from pairloom.sources.predictions import counter_rows, prediction_rows
 from pairloom.sources.tables import shared_folder, stage
@@ -91,16 +91,15 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "features", lambda: ft.pair_features(sp.train_pairs(spark, sf)))
 
 
-def mean_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, sf, "means", lambda: vc.pooled_vectors(
-        sp.train_pairs(spark, sf), vector_table(spark, sf), WIDTH, "mean"))
+def mean_sides(spark: SparkSession, sf: str) -> DataFrame:
+    return _once(spark, sf, "means", lambda: vc.pair_sides(vc.pooled_vectors(
+        sp.train_pairs(spark, sf), vector_table(spark, sf), WIDTH, "mean"), WIDTH))
 
 
-def layer(spark: SparkSession) -> DataFrame:
-    """A fixed dense layer, one row per component of the joint vector."""
-    d = F.col("id").cast("int")
-    return spark.range(2 * WIDTH).select(
-        d.alias("d"), ((d % 7 - 3) / 10.0).alias("w0"), ((d % 5 - 2) / 10.0).alias("w1"))
+def fixed_head(moments: DataFrame) -> DenseHead:
+    """A fixed dense layer over the joint vector."""
+    weights = ([(d % 7 - 3) / 10.0 for d in range(2 * WIDTH)], [(d % 5 - 2) / 10.0 for d in range(2 * WIDTH)])
+    return DenseHead(*vc.moment_values(moments), weights, (0.1, -0.1))
 
 
 # --- texts ---------------------------------------------------------------
@@ -305,59 +304,68 @@ def embedding_lookup(spark, sf):
                        r6(_norm("vec")).alias("norm"))
 
 
-def _shown_long(df: DataFrame) -> DataFrame:
-    keys = [c for c in ("id", "side", "d") if c in df.columns]
-    return df.select(*big(*keys), r6("x").alias("x"))
+def _shown_vectors(df: DataFrame) -> DataFrame:
+    """One row per component."""
+    keys = [c for c in ("id", "side") if c in df.columns]
+    cells = df.select(*big(*keys), F.posexplode("vec").alias("d", "x"))
+    return cells.select(*keys, *big("d"), r6("x").alias("x"))
+
+
+def _pooled(spark, sf, mode: str = "sum") -> DataFrame:
+    return vc.pooled_vectors(sp.train_pairs(spark, sf), vector_table(spark, sf), WIDTH, mode)
 
 
 def pooled_sum(spark, sf):
-    return _shown_long(vc.pooled_vectors(sp.train_pairs(spark, sf), vector_table(spark, sf), WIDTH))
+    return _shown_vectors(_pooled(spark, sf))
 
 
 def pooled_mean(spark, sf):
-    return _shown_long(vc.pooled_vectors(sp.train_pairs(spark, sf), vector_table(spark, sf), WIDTH, "mean"))
+    return _shown_vectors(_pooled(spark, sf, "mean"))
 
 
 def pooled_idf(spark, sf):
     pairs = sp.train_pairs(spark, sf)
     idf = vc.inverse_document_frequency(pairs)
     weighted = _once(spark, sf, "idf-vectors", lambda: vector_table(spark, sf).join(idf, "token"))
-    return _shown_long(vc.pooled_vectors(pairs, weighted, WIDTH))
+    return _shown_vectors(vc.pooled_vectors(pairs, weighted, WIDTH))
 
 
 def pair_distance(spark, sf):
-    sums = vc.pooled_vectors(sp.train_pairs(spark, sf), vector_table(spark, sf), WIDTH)
-    return vc.pair_distance(sums).select("id", r6("distance").alias("distance"))
+    sides = vc.pair_sides(_pooled(spark, sf), WIDTH)
+    return DistanceHead().score(sides).select("id", r6("distance").alias("distance"))
 
 
 def distance_threshold_predict(spark, sf):
-    sums = vc.pooled_vectors(sp.train_pairs(spark, sf), vector_table(spark, sf), WIDTH)
-    return run_head(DistanceHead(0.3), sums).select("id", *big("prediction"))
+    sides = vc.pair_sides(_pooled(spark, sf), WIDTH)
+    return run_head(DistanceHead(0.3), sides).select("id", *big("prediction"))
 
 
 def pooled_distance_scores(spark, sf):
-    sums = vc.pooled_vectors(sp.train_pairs(spark, sf), vector_table(spark, sf), WIDTH)
-    scored = run_head(DistanceHead(), vc.prefix_components(sums, PREFIX))
-    return scored.select("id", r6("distance").alias("distance"), *big("prediction"))
+    """Distances over the first components of the sentence vectors."""
+    sides = vc.pair_sides(_pooled(spark, sf), WIDTH)
+    short = sides.select("id", *(vector_prefix(F.col(c), PREFIX).alias(c) for c in ("left", "right")))
+    return run_head(DistanceHead(), short).select("id", r6("distance").alias("distance"), *big("prediction"))
 
 
-def joint_vector(spark, sf):
-    return _shown_long(vc.joint_components(mean_table(spark, sf), WIDTH))
+def joint_vectors(spark, sf):
+    return _shown_vectors(joint(mean_sides(spark, sf)))
 
 
 def batch_moments(spark, sf):
-    m = vc.component_moments(vc.joint_components(mean_table(spark, sf), WIDTH))
+    m = vc.component_moments(joint(mean_sides(spark, sf)))
     return m.select(*big("d"), r6("mean").alias("mean"), r6("var").alias("var"))
 
 
 def batch_normalize(spark, sf):
-    joint = vc.joint_components(mean_table(spark, sf), WIDTH)
-    return _shown_long(vc.batch_normalize(joint, vc.component_moments(joint)))
+    rows = joint(mean_sides(spark, sf))
+    means, variances = (F.array(*map(F.lit, v)) for v in vc.moment_values(vc.component_moments(rows)))
+    return _shown_vectors(rows.withColumn("vec", vc.batch_normalize(F.col("vec"), means, variances)))
 
 
 def encode_decay(spark, sf):
     matrix = matrix_table(spark, sf).select("token", "vec")
-    return _shown_long(sequence_sides(sp.train_pairs(spark, sf), matrix, WIDTH, decay=DECAY))
+    rows = vb.encode_long(sp.train_pairs(spark, sf), matrix)
+    return _shown_vectors(vc.decayed_encoding(rows, WIDTH, DECAY))
 
 
 def relaxed_wmd(spark, sf):
@@ -466,25 +474,26 @@ def logistic_mllib(spark, sf):
 
 
 def dense_head_forward(spark, sf):
-    means = mean_table(spark, sf)
-    moments = vc.component_moments(vc.joint_components(means, WIDTH))
-    head = DenseHead(WIDTH, moments, layer(spark), (0.1, -0.1))
-    return run_head(head, means).select("id", r6("p0").alias("p0"), r6("p1").alias("p1"), *big("prediction"))
+    sides = mean_sides(spark, sf)
+    scored = run_head(fixed_head(vc.component_moments(joint(sides))), sides)
+    return scored.select("id", r6("p0").alias("p0"), r6("p1").alias("p1"), *big("prediction"))
 
 
 def dense_head_batches(spark, sf):
     """The same layer, normalised by the moments of each mini-batch."""
-    means = mean_table(spark, sf)
-    batches = rw.minibatches(sp.train_pairs(spark, sf).select("id"), batch_size=BATCH).select("id", "batch_id")
-    head = DenseHead(WIDTH, vc.component_moments(vc.joint_components(means, WIDTH)), layer(spark), (0.1, -0.1))
-    scored = head.decide(head.score_per_batch(means, batches))
+    sides = mean_sides(spark, sf)
+    batches = rw.minibatches(sides.select("id"), batch_size=BATCH).select("id", "batch_id")
+    head = fixed_head(vc.component_moments(joint(sides)))
+    scored = head.decide(head.score_per_batch(sides, batches))
     return scored.select("id", r6("p0").alias("p0"), r6("p1").alias("p1"), *big("prediction"))
 
 
 def dense_head_fit(spark, sf):
-    labels = sp.train_pairs(spark, sf).select("id", "is_duplicate")
-    head = DenseHead.fit(mean_table(spark, sf), labels, WIDTH)
-    return head.weights.select(*big("d"), r6("w0").alias("w0"), r6("w1").alias("w1"))
+    """Fit on the first pairs, score the rest."""
+    fit_labels, held = rw.split_by_position(sp.train_pairs(spark, sf).select("id", "is_duplicate"))
+    sides = mean_sides(spark, sf)
+    head = DenseHead.fit(sides, fit_labels)
+    return run_head(head, sides.join(held, "id", "left_semi")).select("id", r6("p1").alias("p1"), *big("prediction"))
 
 
 def _sequence_run(spark, sf):
@@ -548,7 +557,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_distance": pair_distance,
     "distance_threshold_predict": distance_threshold_predict,
     "pooled_distance_scores": pooled_distance_scores,
-    "joint_vector": joint_vector,
+    "joint_vector": joint_vectors,
     "batch_moments": batch_moments,
     "batch_normalize": batch_normalize,
     "encode_decay": encode_decay,

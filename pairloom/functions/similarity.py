@@ -147,3 +147,13 @@ def edit_sigmoid(text1: Column, text2: Column) -> Column:
     return F.transform(
         F.array(near), lambda d: F.when(d < 0, 1.0).otherwise(sigmoid(d))
     )[0]
+
+
+def normalized_distance(left: Column, right: Column) -> Column:
+    """|l - r| / (|l| + |r|) of two vectors, NULL if both are zero."""
+
+    def length(v: Column) -> Column:
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+    gap = length(F.zip_with(left, right, lambda a, b: a - b))
+    return F.try_divide(gap, length(left) + length(right))

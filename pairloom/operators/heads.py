@@ -1,25 +1,26 @@
-"""Exchangeable decision heads on sentence vectors in long form (id, side, d, x)."""
+"""Exchangeable decision heads on pairs of sentence vectors (id, left, right)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.constants import DISTANCE_THRESHOLD, NORM_EPSILON
+from pairloom.functions.arrays import joint_vector
 from pairloom.functions.scoring import argmax2, softmax2, threshold_decision
-from pairloom.operators.vectors import (
-    batch_normalize, component_arrays, component_moments, joint_components, pair_distance,
-)
+from pairloom.functions.similarity import normalized_distance
+from pairloom.operators.vectors import batch_normalize, component_moments, moment_values, normalize_per_batch
 from pairloom.sources.tables import stage
 
 
 class PairHead(Protocol):
-    """Scores sentence vectors, then turns scores into 0/1 predictions, one row per id."""
+    """Scores pairs of vectors, then turns scores into 0/1 predictions, row by row."""
 
     def score(self, sides: DataFrame) -> DataFrame: ...
 
@@ -33,43 +34,50 @@ class DistanceHead:
     threshold: float = DISTANCE_THRESHOLD
 
     def score(self, sides: DataFrame) -> DataFrame:
-        return pair_distance(sides)
+        return sides.select("id", normalized_distance(F.col("left"), F.col("right")).alias("distance"))
 
     def decide(self, scored: DataFrame) -> DataFrame:
         return scored.withColumn("prediction", threshold_decision(F.col("distance"), self.threshold))
 
 
+def joint(sides: DataFrame) -> DataFrame:
+    """(id, vec): both vectors of a pair behind each other."""
+    return sides.select("id", joint_vector(F.col("left"), F.col("right")).alias("vec"))
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values))
+
+
 @dataclass(frozen=True)
 class DenseHead:
     """Joint vector, batch normalisation, one dense layer of two classes, softmax.
 
-    ``moments`` (d, mean, var) are those of the training data, so a row's score
-    does not depend on its neighbours; ``weights`` (d, w0, w1) and ``biases``
-    are the layer. Both tables have one row per component.
+    The moments are those of the training data, so a row's score does not
+    depend on its neighbours. All parameters are as many numbers as the joint
+    vector is wide, and scoring is a projection.
     """
 
-    width: int
-    moments: DataFrame
-    weights: DataFrame
+    means: Sequence[float]
+    variances: Sequence[float]
+    weights: tuple[Sequence[float], Sequence[float]]
     biases: tuple[float, float]
     epsilon: float = NORM_EPSILON
 
     def score(self, sides: DataFrame) -> DataFrame:
-        z = batch_normalize(joint_components(sides, self.width), self.moments, epsilon=self.epsilon)
-        return self._forward(z, ["id"])
+        z = batch_normalize(F.col("vec"), _numbers(self.means), _numbers(self.variances), self.epsilon)
+        return self._forward(joint(sides).withColumn("vec", z))
 
     def score_per_batch(self, sides: DataFrame, batches: DataFrame) -> DataFrame:
         """Normalise by the moments of each row's own batch; ``batches`` is (id, batch_id)."""
-        joint = joint_components(sides, self.width).join(batches, "id")
-        moments = component_moments(joint, ("batch_id",))
-        return self._forward(batch_normalize(joint, moments, ("batch_id",), self.epsilon), ["id"])
-
-    def _forward(self, z: DataFrame, keys: list[str]) -> DataFrame:
-        # The layer has one row per component, so its size is the vector width.
-        cells = z.join(F.broadcast(self.weights), "d")
-        logits = cells.groupBy(*keys).agg(*(
-            (F.sum(F.col("x") * F.col(f"w{c}")) + F.lit(float(self.biases[c]))).alias(f"z{c}") for c in (0, 1)
-        ))
+        return self._forward(normalize_per_batch(joint(sides).join(batches, "id")))
+
+    def _forward(self, normal: DataFrame) -> DataFrame:
+        def logit(c: int) -> Column:
+            terms = F.zip_with("vec", _numbers(self.weights[c]), lambda x, w: x * w)
+            return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) + F.lit(float(self.biases[c]))
+
+        logits = normal.select("id", logit(0).alias("z0"), logit(1).alias("z1"))
         p0, p1 = softmax2(F.col("z0"), F.col("z1"))
         return logits.withColumns({"p0": p0, "p1": p1})
 
@@ -77,20 +85,17 @@ class DenseHead:
         return scored.withColumn("prediction", argmax2(F.col("p0"), F.col("p1")))
 
     @classmethod
-    def fit(cls, sides: DataFrame, labels: DataFrame, width: int, reg: float = 1e-3, epochs: int = 100) -> DenseHead:
+    def fit(cls, sides: DataFrame, labels: DataFrame, reg: float = 1e-3, epochs: int = 100) -> DenseHead:
         """Fit the layer on normalised joint vectors; ``labels`` is (id, is_duplicate)."""
-        joint = stage(joint_components(sides, width), "joint")
-        moments = stage(component_moments(joint), "moments")
-        rows = component_arrays(batch_normalize(joint, moments)).join(labels, "id")
-        data = rows.select(array_to_vector(F.col("vec")).alias("x"), F.col("is_duplicate").cast("double").alias("y"))
+        rows = stage(joint(sides).join(labels, "id"), "joint")
+        means, variances = moment_values(component_moments(rows))
+        z = batch_normalize(F.col("vec"), _numbers(means), _numbers(variances))
+        data = rows.select(array_to_vector(z).alias("x"), F.col("is_duplicate").cast("double").alias("y"))
         fitted: LogisticRegressionModel = LogisticRegression(
             featuresCol="x", labelCol="y", family="multinomial", regParam=reg, maxIter=epochs, standardization=False,
         ).fit(data)
-        w = fitted.coefficientMatrix.toArray()
-        cells = [(d, float(w[0, d]), float(w[1, d])) for d in range(w.shape[1])]
-        weights = sides.sparkSession.createDataFrame(cells, "d int, w0 double, w1 double")
-        b = fitted.interceptVector.toArray()
-        return cls(width, moments, weights, (float(b[0]), float(b[1])))
+        w, b = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+        return cls(means, variances, (w[0].tolist(), w[1].tolist()), (float(b[0]), float(b[1])))
 
 
 def run_head(head: PairHead, sides: DataFrame) -> DataFrame:

@@ -8,43 +8,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 256 << 20
 SALTS = 16
+_ELEMENT_BYTES = {"float": 4, "int": 4, "double": 8, "bigint": 8}
 
 
 def _column_bytes(field: T.StructField) -> Column:
     col = F.col(field.name)
     if isinstance(field.dataType, T.StringType):
-        return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("long") + 16
     if isinstance(field.dataType, T.ArrayType):
-        return F.greatest(F.size(col), F.lit(0)).cast("long") * 8
+        each = _ELEMENT_BYTES[field.dataType.elementType.simpleString()]
+        return F.greatest(F.size(col), F.lit(0)).cast("long") * each + 16
     return F.lit(8).cast("long")
 
 
 def table_bytes(df: DataFrame) -> int:
     """Data bytes of a table, by one aggregate row."""
-    row = reduce(lambda a, b: a + b, [_column_bytes(f) for f in df.schema.fields]) + F.lit(16)
+    row = reduce(lambda a, b: a + b, [_column_bytes(f) for f in df.schema.fields])
     return df.agg(F.sum(row)).first()[0] or 0
 
 
-def lookup_join(
-    facts: DataFrame,
-    table: DataFrame,
-    on: str,
-    how: str = "left",
-    spread_by: str = "id",
-    limit: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has been measured to be at most ``limit`` bytes."""
+    return table_bytes(df) <= limit
+
+
+def salted_join(
+    facts: DataFrame, table: DataFrame, on: str, how: str = "left", spread_by: str = "id", salts: int = SALTS
 ) -> DataFrame:
-    """Join many rows to a lookup table with unique keys.
+    """Shuffle join to a table with unique keys, without hot tasks.
 
-    A lookup table of at most ``limit`` bytes is broadcast. A larger one is
-    shuffled, with each of its rows copied once per salt, so that the rows of a
-    frequent key spread over ``salts`` tasks instead of meeting in one. The
-    table is read twice (size, join), so pass a staged or otherwise cheap one.
+    Each row of the table is copied once per salt, so the rows of a frequent
+    key spread over ``salts`` tasks instead of meeting in one.
     """
-    if table_bytes(table) <= limit:
-        return facts.join(F.broadcast(table), on, how)
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     return salted.join(copies.hint("merge"), [on, "_salt"], how).drop("_salt")
+
+
+def lookup_join(
+    facts: DataFrame, table: DataFrame, on: str, how: str = "left", spread_by: str = "id", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Join many rows to a lookup table with unique keys: broadcast if small, else salted.
+
+    The table is read twice (size, join), so pass a staged or otherwise cheap
+    one.
+    """
+    if fits_broadcast(table, limit):
+        return facts.join(F.broadcast(table), on, how)
+    return salted_join(facts, table, on, how, spread_by)

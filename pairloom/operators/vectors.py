@@ -1,12 +1,13 @@
 """Word vectors to sentence vectors, distances and normalised joint vectors.
 
-Sentence vectors stay in long form (id, side, d, x): sums over tokens are hash
-aggregates on numbers, merged inside each task before anything is shuffled.
+Sums over words are taken component by component, in blocks of columns, so they
+are hash aggregates on numbers: each task merges the words of a text before
+anything is shuffled, and a text travels as one vector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from pairloom.constants import NORM_EPSILON
 from pairloom.functions.arrays import zero_vector
 from pairloom.functions.text import as_text, sequence_tokens, split_blanks
-from pairloom.operators.joins import BROADCAST_BYTES, lookup_join
+from pairloom.operators.joins import BROADCAST_BYTES, fits_broadcast, lookup_join, salted_join
+
+# Components summed side by side in one generated aggregate.
+_BLOCK = 64
 
 
 def _text_rows(pairs: DataFrame, rule: str) -> DataFrame:
@@ -29,30 +33,61 @@ def _text_rows(pairs: DataFrame, rule: str) -> DataFrame:
                        F.explode_outer("s.t").alias("token"))
 
 
-def _component_sums(rows: DataFrame, keys: list[str], vec: Column, weight: Column) -> DataFrame:
-    parts = rows.select(*keys, weight.alias("_w"), F.posexplode(vec).alias("d", "_x"))
-    return parts.groupBy(*keys, "d").agg(F.sum(F.col("_w") * F.col("_x").cast("double")).alias("x"))
+def sum_vectors(rows: DataFrame, keys: Sequence[str], vec: Column, weight: Column, width: int) -> DataFrame:
+    """(keys, vec): weighted sum of vectors per key, at most ``width`` wide.
+
+    Shorter vectors count as zero in the components they lack.
+    """
+    blocks = -(-width // _BLOCK)
+    parts = rows.select(*keys, weight.cast("double").alias("_w"), vec.alias("_v"))
+    if blocks == 1:
+        place, by = F.lit(0), list(keys)
+    else:
+        used = F.floor((F.size("_v") - 1) / F.lit(_BLOCK)).cast("int")
+        parts = parts.withColumn("_b", F.explode(F.sequence(F.lit(0), used)))
+        place, by = F.col("_b") * _BLOCK, [*keys, "_b"]
+    size = width if blocks == 1 else _BLOCK
+    cell = [F.sum(F.col("_w") * F.get(F.col("_v"), place + i)).alias(f"_x{i}") for i in range(size)]
+    sums = parts.groupBy(*by).agg(*cell)
+    vector = F.array(*(F.coalesce(F.col(f"_x{i}"), F.lit(0.0)) for i in range(size)))
+    if blocks == 1:
+        return sums.select(*keys, vector.alias("vec"))
+    # One group is one vector: its few blocks are put side by side, absent ones as zeros.
+    whole = sums.groupBy(*keys).agg(F.collect_list(F.struct("_b", vector.alias("v"))).alias("_all"))
+    zeros = F.array_repeat(F.lit(0.0), _BLOCK)
+
+    def block(i: int) -> Column:
+        return F.coalesce(F.get(F.filter("_all", lambda x: x["_b"] == i), F.lit(0))["v"], zeros)
+
+    laid = F.concat(*(block(i) for i in range(blocks)))
+    return whole.select(*keys, F.slice(laid, 1, width).alias("vec"))
 
 
 def pooled_vectors(
     pairs: DataFrame, vectors: DataFrame, width: int, mode: str = "sum", rule: str = "blank",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(id, side, d, x): sum or mean of the word vectors of each text.
+    """(id, side, vec): sum or mean of the word vectors of each text.
 
     Words without a vector count as zero; a text without words is the zero
     vector. If ``vectors`` has a column ``weight`` each word counts by it.
     """
-    rows = lookup_join(_text_rows(pairs, rule), vectors, "token", limit=limit)
-    vec = F.coalesce("vec", zero_vector(width))
-    weight = F.col("weight") if "weight" in vectors.columns else F.lit(1.0)
-    weight = F.coalesce(weight, F.lit(0.0))
-    if mode == "sum":
-        return _component_sums(rows, ["id", "side"], vec, weight)
+    if mode not in ("sum", "mean"):
+        raise ValueError(f"unknown mode {mode!r}")
+    rows, keys = _text_rows(pairs, rule), ["id", "side", "n"]
+    if fits_broadcast(vectors, limit):
+        found, times = rows.join(F.broadcast(vectors), "token", "left"), F.lit(1.0)
+    else:
+        # Repeated words meet first; after the join the vectors of a text meet again
+        # by its id, so that sums are complete where they are taken.
+        counted = rows.groupBy(*keys, "token").agg(F.count("*").alias("times"))
+        found, times = salted_join(counted, vectors, "token").repartition("id"), F.col("times")
+    weight = times * F.coalesce("weight", F.lit(0.0)) if "weight" in vectors.columns else times
+    sums = sum_vectors(found, keys, F.coalesce("vec", zero_vector(width)), weight, width)
     if mode == "mean":
-        sums = _component_sums(rows, ["id", "side", "n"], vec, weight)
-        return sums.select("id", "side", "d", (F.col("x") / F.greatest("n", F.lit(1))).alias("x"))
-    raise ValueError(f"unknown mode {mode!r}")
+        size = F.greatest("n", F.lit(1))
+        sums = sums.withColumn("vec", F.transform("vec", lambda x: x / size))
+    return sums.select("id", "side", "vec")
 
 
 def inverse_document_frequency(pairs: DataFrame, rule: str = "blank") -> DataFrame:
@@ -63,63 +98,55 @@ def inverse_document_frequency(pairs: DataFrame, rule: str = "blank") -> DataFra
     return df.select("token", (F.ln(F.lit(1.0 + texts) / (F.lit(1.0) + F.col("count"))) + 1.0).alias("weight"))
 
 
-def prefix_components(pooled: DataFrame, n: int) -> DataFrame:
-    """Long-form counterpart of the first n vector components."""
-    return pooled.filter(F.col("d") < n)
+def pair_sides(vectors: DataFrame, width: int) -> DataFrame:
+    """(id, left, right): both texts of a pair in one row; a missing side is zero."""
+    both = vectors.groupBy("id").agg(F.collect_list(F.struct("side", "vec")).alias("s"))
+    zeros = F.array_repeat(F.lit(0.0), width)
 
+    def of(side: int) -> Column:
+        return F.coalesce(F.get(F.filter("s", lambda x: x["side"] == side), F.lit(0))["vec"], zeros)
 
-def pair_distance(pooled: DataFrame) -> DataFrame:
-    """(id, distance): |l - r| / (|l| + |r|), NULL if both are zero."""
-    left = F.sum(F.when(F.col("side") == 1, F.col("x")).otherwise(0.0)).alias("l")
-    right = F.sum(F.when(F.col("side") == 2, F.col("x")).otherwise(0.0)).alias("r")
-    by_part = pooled.groupBy("id", "d").agg(left, right)
-    norms = by_part.groupBy("id").agg(
-        F.sqrt(F.sum(F.pow(F.col("l") - F.col("r"), 2))).alias("gap"),
-        (F.sqrt(F.sum(F.pow("l", 2))) + F.sqrt(F.sum(F.pow("r", 2)))).alias("both"),
-    )
-    return norms.select("id", F.try_divide("gap", "both").alias("distance"))
+    return both.select("id", of(1).alias("left"), of(2).alias("right"))
 
 
-def joint_components(sides: DataFrame, width: int) -> DataFrame:
-    """(id, d, x): the second text's components behind the first one's."""
-    d = F.col("d") + F.when(F.col("side") == 2, width).otherwise(0)
-    return sides.select("id", d.cast("int").alias("d"), "x")
+def component_moments(vectors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(d, mean, var): population moments per component, or per batch and component."""
+    cells = vectors.select(*by, F.posexplode("vec").alias("d", "x"))
+    return cells.groupBy(*by, "d").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
 
 
-def component_arrays(long: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Long form to one array per key; a group holds one vector, of fixed width."""
-    cells = F.sort_array(F.collect_list(F.struct("d", "x"))).alias("c")
-    return long.groupBy(*keys).agg(cells).select(*keys, F.col("c.x").alias("vec"))
+def moment_values(moments: DataFrame) -> tuple[list[float], list[float]]:
+    """Means and variances as two lists; there is one row per component."""
+    rows = moments.orderBy("d").select("mean", "var").collect()
+    return [r["mean"] for r in rows], [r["var"] for r in rows]
 
 
-def component_moments(long: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(d, mean, var): population moments per component, or per batch and component."""
-    return long.groupBy(*by, "d").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+def batch_normalize(vec: Column, means: Column, variances: Column, epsilon: float = NORM_EPSILON) -> Column:
+    """(x - mean) / sqrt(var + epsilon), component by component."""
+    centred = F.zip_with(vec, means, lambda x, m: x - m)
+    return F.zip_with(centred, variances, lambda x, v: x / F.sqrt(v + F.lit(epsilon)))
 
 
-def batch_normalize(
-    long: DataFrame, moments: DataFrame, by: tuple[str, ...] = (), epsilon: float = NORM_EPSILON
-) -> DataFrame:
-    """(x - mean) / sqrt(var + epsilon) with given moments."""
-    # One row per component: as many as a vector is wide. With batches it grows, so no hint.
-    side = moments if by else F.broadcast(moments)
-    z = (F.col("x") - F.col("mean")) / F.sqrt(F.col("var") + F.lit(epsilon))
-    return long.join(side, [*by, "d"]).withColumn("x", z).drop("mean", "var")
+def normalize_per_batch(vectors: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Replace ``vec`` by its normalised form under its own batch's moments."""
+    cells = component_moments(vectors, (batch,)).groupBy(batch).agg(
+        F.sort_array(F.collect_list(F.struct("d", "mean", "var"))).alias("_m"))
+    found = vectors.join(cells, batch)
+    return found.withColumn("vec", batch_normalize(F.col("vec"), F.col("_m.mean"), F.col("_m.var"))).drop("_m")
 
 
 def decayed_encoding(tokens: DataFrame, width: int, decay: float) -> DataFrame:
-    """(id, side, d, x) of width 2w: order-aware state of each sequence.
+    """(id, side, vec) of width 2w: order-aware state of each sequence.
 
     The first half decays towards earlier words: sum of decay^(size-1-pos)
     times the word's vector. The second half is the last word's vector alone.
     ``tokens`` is the long encoding with a ``vec`` column.
     """
     vec = F.coalesce("vec", zero_vector(width))
-    back = F.lit(-1) + F.col("size") - F.col("pos")
+    back = F.col("size") - F.col("pos") - 1
     # The last word adds to both halves, every other word to the first only.
     wide = F.when(back == 0, F.concat(vec, vec)).otherwise(vec)
-    rows = tokens.select("id", "side", back.alias("_back"), wide.alias("_vec"))
-    return _component_sums(rows, ["id", "side"], F.col("_vec"), F.pow(F.lit(float(decay)), F.col("_back")))
+    return sum_vectors(tokens, ["id", "side"], wide, F.pow(F.lit(float(decay)), back), 2 * width)
 
 
 def relaxed_mover_distance(pairs: DataFrame, vectors: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -11,7 +11,7 @@ from pairloom.constants import SEQUENCE_LENGTH, VOCABULARY_CAP
 from pairloom.operators.heads import DenseHead, PairHead, run_head
 from pairloom.operators.metrics import accuracy, outcome_counts
 from pairloom.operators.rows import split_by_position
-from pairloom.operators.vectors import decayed_encoding
+from pairloom.operators.vectors import decayed_encoding, pair_sides
 from pairloom.operators.vocabulary import build_vocabulary, encode_long, pair_tokens, vector_matrix
 from pairloom.sources.predictions import prediction_rows
 from pairloom.sources.tables import stage
@@ -40,8 +40,8 @@ def sequence_sides(
     pairs: DataFrame, matrix: DataFrame, width: int, rule: str = "blank", decay: float = 0.9,
     length: int = SEQUENCE_LENGTH,
 ) -> DataFrame:
-    """Order-aware vectors (id, side, d, x) of both texts, of twice the word-vector width."""
-    return decayed_encoding(encode_long(pairs, matrix, rule, length), width, decay)
+    """Order-aware vectors (id, left, right) of both texts, of twice the word-vector width."""
+    return pair_sides(decayed_encoding(encode_long(pairs, matrix, rule, length), width, decay), 2 * width)
 
 
 def run_sequence_model(
@@ -54,7 +54,7 @@ def run_sequence_model(
     sides = stage(sequence_sides(train, matrix, width, decay=decay), "sides")
     labels = stage(train.select("id", "is_duplicate"), "labels")
     fit_labels, holdout_labels = split_by_position(labels)
-    head = DenseHead.fit(sides.join(fit_labels.select("id"), "id", "left_semi"), fit_labels, 2 * width)
+    head = DenseHead.fit(sides, fit_labels)
     held = sides.join(holdout_labels.select("id"), "id", "left_semi")
     holdout = with_all_pairs(run_head(head, held), holdout_labels, "is_duplicate")
     scored = run_head(head, sequence_sides(test, matrix, width, test_rule, decay))
