@@ -92,8 +92,13 @@ def folded(text: Column) -> Column:
 
 
 def edit_distance(text1: Column, text2: Column) -> Column:
-    """Full edit distance in characters, on lower-cased raw texts."""
-    return F.levenshtein(folded(text1), folded(text2))
+    """Full edit distance in characters, on lower-cased raw texts.
+
+    A text inside the other one is as far away as the lengths differ.
+    """
+    a, b = folded(text1), folded(text2)
+    gap = F.abs(F.length(a) - F.length(b))
+    return F.when(F.contains(a, b) | F.contains(b, a), gap).otherwise(F.levenshtein(a, b))
 
 
 def _equal_blocks(a: Column, b: Column, from_end: bool) -> Column:

@@ -16,6 +16,10 @@ BLANK = r"\s\x1c-\x1f"
 _BLANKS = rf"(?U)[{BLANK}]+"
 _NON_WORD = r"[^\p{L}\p{N}_]+"
 _WORDS = r"\.{3}|(?:[a-z]\.){2,}|[0-9a-z]+(?:\.[0-9a-z]+|,[0-9][0-9a-z]*)*|[?.,]"
+_RULES = {
+    "blank": (rf"(?U)[^0-9a-zA-Z{BLANK}?.,]", " "),
+    "delete": (rf"(?U)[^0-9a-zA-Z{BLANK}]", ""),
+}
 # Contractions that are read as two words.
 _CONTRACTIONS = r"\b(can(?=not\b)|gim(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)|wan(?=na\b))"
 
@@ -45,19 +49,20 @@ def clean_tfidf(text: Column) -> Column:
     return F.regexp_replace(F.when(low == MISSING_TEXT, F.lit("")).otherwise(low), _NON_WORD, " ")
 
 
+def _plain(text: Column, rule: str) -> Column:
+    """Foreign characters removed by the named rule, then lower case."""
+    foreign, instead = _RULES[rule]
+    return F.lower(F.regexp_replace(as_text(text), foreign, instead))
+
+
 def clean_train(text: Column) -> Column:
     """Each character outside letters, digits, blanks and ``? . ,`` to a blank."""
-    kept = F.regexp_replace(as_text(text), rf"(?U)[^0-9a-zA-Z{BLANK}?.,]", " ")
-    return trim_blanks(F.lower(kept))
+    return trim_blanks(_plain(text, "blank"))
 
 
 def clean_test(text: Column) -> Column:
     """Each character outside letters, digits and blanks deleted."""
-    kept = F.regexp_replace(as_text(text), rf"(?U)[^0-9a-zA-Z{BLANK}]", "")
-    return trim_blanks(F.lower(kept))
-
-
-CLEANERS = {"blank": clean_train, "delete": clean_test}
+    return trim_blanks(_plain(text, "delete"))
 
 
 def split_blanks(text: Column) -> Column:
@@ -82,5 +87,5 @@ def word_tokens(cleaned: Column) -> Column:
 
 
 def sequence_tokens(text: Column, rule: str = "blank") -> Column:
-    """Clean by the named rule, then word-tokenise."""
-    return word_tokens(CLEANERS[rule](text))
+    """Clean by the named rule, then word-tokenise; blanks at the ends yield no token."""
+    return word_tokens(_plain(text, rule))

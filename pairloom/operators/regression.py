@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.constants import BASIC3, REGRESSION_EPOCHS, REGRESSION_RATE
@@ -56,6 +56,11 @@ class LinearModel:
         return df.sparkSession.createDataFrame(rows, "epoch int, cost double")
 
 
+def _multiplicity(df: DataFrame) -> Column:
+    """How often a row counts: column ``n`` of a collapsed table, else once."""
+    return F.col("n").cast("double") if "n" in df.columns else F.lit(1.0)
+
+
 def collapse_rows(df: DataFrame, columns: Sequence[str], label: str = "is_duplicate") -> DataFrame:
     """Equal (features, label) rows once, with their number: the sums stay the same.
 
@@ -66,8 +71,11 @@ def collapse_rows(df: DataFrame, columns: Sequence[str], label: str = "is_duplic
 
 def standard_scales(df: DataFrame, columns: Sequence[str]) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Means and population deviations; a constant column keeps scale 1."""
-    row = df.agg(*(f(c) for c in columns for f in (F.avg, F.stddev_pop))).first()
-    return tuple(row[0::2]), tuple(s if s > 0 else 1.0 for s in row[1::2])
+    n = _multiplicity(df)
+    means = df.agg(*(F.sum(n * F.col(c)) / F.sum(n) for c in columns)).first()
+    off = [F.pow(F.col(c) - F.lit(m), 2) for c, m in zip(columns, means, strict=True)]
+    scales = df.agg(*(F.sqrt(F.sum(n * o) / F.sum(n)) for o in off)).first()
+    return tuple(means), tuple(s if s > 0 else 1.0 for s in scales)
 
 
 def gradient_step(df: DataFrame, model: LinearModel, label: str = "is_duplicate") -> DataFrame:
@@ -75,8 +83,7 @@ def gradient_step(df: DataFrame, model: LinearModel, label: str = "is_duplicate"
 
     ``df`` may carry multiplicities in a column ``n``.
     """
-    n = F.col("n").cast("double") if "n" in df.columns else F.lit(1.0)
-    scored = model.score(df.withColumn("_n", n))
+    scored = model.score(df.withColumn("_n", _multiplicity(df)))
     error = F.col("p1") - F.col(label)
     loss = log_loss(true_class_probability(F.col(label), F.col("p0"), F.col("p1")))
     total = F.sum("_n")
@@ -101,7 +108,7 @@ def logistic_gd(
 
     Two softmax classes that start at zero stay mirror images, so the step on
     their difference is twice the rate. ``features`` is read once per epoch:
-    pass a staged table.
+    pass a staged table, collapsed if it holds many copies.
     """
     columns = tuple(columns)
     means, scales = standard_scales(features, columns) if standardize else ((), ())

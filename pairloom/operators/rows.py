@@ -22,7 +22,7 @@ def _range_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """
     points = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(F.percentile_approx(key, points, 10 * buckets)).first()[0] or []
-    inner = sorted({float(b) for b in bounds})
+    inner = sorted({float(b) for b in bounds}) or [0.0]
     splits = [-math.inf, *inner, math.inf]
     keyed = df.withColumn("_key", F.col(key).cast("double"))
     cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket")

@@ -164,9 +164,8 @@ def relaxed_mover_distance(pairs: DataFrame, vectors: DataFrame, limit: int = BR
 
     rows = pairs.select("id", F.explode(F.concat(tagged("question1", 1), tagged("question2", 2))).alias("s"))
     rows = rows.select("id", "s.side", "s.token")
-    found = lookup_join(rows, vectors.select("token", "vec"), "token", how="inner", limit=limit)
-    words = found.groupBy("id", "side", "token").agg(
-        F.count("*").cast("double").alias("w"), F.any_value("vec").alias("vec"))
+    counted = rows.groupBy("id", "side", "token").agg(F.count("*").cast("double").alias("w"))
+    words = lookup_join(counted, vectors.select("token", "vec"), "token", how="inner", limit=limit)
 
     def side_list(side: int, name: str) -> Column:
         return F.collect_list(F.when(F.col("side") == side, F.col(name)))
