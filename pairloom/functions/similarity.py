@@ -8,6 +8,7 @@ shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,21 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x.cast("double")))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute a value once and use it several times in one expression."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _overlap(tokens1: Column, tokens2: Column) -> Column:
+    """Both lists with their distinct counts and the number of shared tokens."""
+    lists = F.struct(tokens1.alias("t1"), tokens2.alias("t2"))
+    return _let(lists, lambda x: F.struct(
+        x["t1"].alias("t1"), x["t2"].alias("t2"),
+        F.size(F.array_distinct(x["t1"])).alias("d1"), F.size(F.array_distinct(x["t2"])).alias("d2"),
+        F.size(F.array_intersect(x["t1"], x["t2"])).alias("shared"),
+    ))
+
+
 def _merged(tokens1: Column, tokens2: Column) -> Column:
     """Both token lists in token order; for equal tokens the first text's come first."""
 
@@ -37,8 +53,29 @@ def _merged(tokens1: Column, tokens2: Column) -> Column:
 def tfidf_cosine(tokens1: Column, tokens2: Column) -> Column:
     """Cosine of two tf-idf vectors whose idf is fitted on the first text alone.
 
+    Lists that share nothing, are equal or repeat no token need no counts; the
+    others are folded. A zero norm gives 0.
+    """
+
+    def of(x: Column) -> Column:
+        n1, n2, shared = F.size(x["t1"]), F.size(x["t2"]), x["shared"]
+        only_second = (n2 - shared) * F.lit(IDF_SECOND_ONLY**2)
+        return (
+            F.when(shared == 0, 0.0)
+            .when(x["t1"] == x["t2"], 1.0)
+            .when((n1 == x["d1"]) & (n2 == x["d2"]),
+                  F.try_divide(shared.cast("double"), F.sqrt(n1) * F.sqrt(shared + only_second)))
+            .otherwise(_folded_cosine(x["t1"], x["t2"]))
+        )
+
+    return _let(_overlap(tokens1, tokens2), of)
+
+
+def _folded_cosine(tokens1: Column, tokens2: Column) -> Column:
+    """The cosine by one pass over the merged lists.
+
     Running squares use (n + 1)^2 - n^2 = 2n + 1, so one pass gives the dot
-    product and both norms. A zero norm gives 0.
+    product and both norms.
     """
     def state(t: Column, a: Column, b: Column, dot: Column, sq1: Column, sq2: Column) -> Column:
         named = {"t": t, "a": a, "b": b, "dot": dot, "sq1": sq1, "sq2": sq2}
@@ -67,7 +104,25 @@ def tfidf_cosine(tokens1: Column, tokens2: Column) -> Column:
 
 
 def common_words(tokens1: Column, tokens2: Column) -> Column:
-    """How many tokens of the first list, repeats included, occur in the second."""
+    """How many tokens of the first list, repeats included, occur in the second.
+
+    Counts are needed only if some repeated tokens are shared and some are not.
+    """
+
+    def of(x: Column) -> Column:
+        n1, shared = F.size(x["t1"]), x["shared"]
+        return (
+            F.when(shared == 0, 0)
+            .when(shared == x["d1"], n1)
+            .when(x["d1"] == n1, shared)
+            .otherwise(_folded_common(x["t1"], x["t2"]))
+        )
+
+    return _let(_overlap(tokens1, tokens2), of)
+
+
+def _folded_common(tokens1: Column, tokens2: Column) -> Column:
+    """The overlap count by one pass over the merged lists."""
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("a"), F.lit(0).alias("hits"))
 
     def state(t: Column, a: Column, hits: Column) -> Column:
@@ -128,13 +183,13 @@ def _bounded_distance(a: Column, b: Column, limit: int) -> Column:
         rest = [F.substr(t, n + 1, F.length(t)) for t in (a, b)]
         tail = F.when(long, _equal_blocks(rest[0], rest[1], True)).otherwise(0)
         pair = F.struct(rest[0].alias("a"), rest[1].alias("b"), tail.alias("n"))
-        return F.transform(F.array(pair), lambda p: F.levenshtein(
+        return _let(pair, lambda p: F.levenshtein(
             F.substr(p["a"], F.lit(1), F.length(p["a"]) - p["n"]),
             F.substr(p["b"], F.lit(1), F.length(p["b"]) - p["n"]),
             limit,
-        ))[0]
+        ))
 
-    return F.transform(F.array(head), after_head)[0]
+    return _let(head, after_head)
 
 
 def edit_sigmoid(text1: Column, text2: Column) -> Column:
@@ -149,9 +204,7 @@ def edit_sigmoid(text1: Column, text2: Column) -> Column:
     gap = F.abs(F.length(a) - F.length(b))
     inside = F.contains(a, b) | F.contains(b, a)
     near = F.when(gap > limit, -1).when(inside, gap).otherwise(_bounded_distance(a, b, limit))
-    return F.transform(
-        F.array(near), lambda d: F.when(d < 0, 1.0).otherwise(sigmoid(d))
-    )[0]
+    return _let(near, lambda d: F.when(d < 0, 1.0).otherwise(sigmoid(d)))
 
 
 def normalized_distance(left: Column, right: Column) -> Column:

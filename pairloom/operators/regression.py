@@ -18,9 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.constants import BASIC3, REGRESSION_EPOCHS, REGRESSION_RATE
-from pairloom.functions.scoring import argmax2, linear_score, log_loss, softmax2
-from pairloom.operators.metrics import true_class_probability
+from pairloom.constants import BASIC3, MIN_PROBABILITY, REGRESSION_EPOCHS, REGRESSION_RATE
+from pairloom.functions.scoring import argmax2, linear_score, softmax2
 
 
 @dataclass(frozen=True)
@@ -81,20 +80,20 @@ def standard_scales(df: DataFrame, columns: Sequence[str]) -> tuple[tuple[float,
 def gradient_step(df: DataFrame, model: LinearModel, label: str = "is_duplicate") -> DataFrame:
     """One row: cost and gradient of the mean loss at the model's weights.
 
-    ``df`` may carry multiplicities in a column ``n``.
+    ``df`` may carry multiplicities in a column ``n``. A step is planned once
+    per epoch, so it is written as a few SQL expressions.
     """
-    scored = model.score(df.withColumn("_n", _multiplicity(df)))
-    error = F.col("p1") - F.col(label)
-    loss = log_loss(true_class_probability(F.col(label), F.col("p0"), F.col("p1")))
-    total = F.sum("_n")
-    values = [F.col(c).cast("double") for c in model.columns]
+    n = "CAST(n AS DOUBLE)" if "n" in df.columns else "1D"
+    values = {f"x_{c}": f"CAST({c} AS DOUBLE)" for c in model.columns}
     if model.means:
-        values = [(v - m) / s for v, m, s in zip(values, model.means, model.scales, strict=True)]
-    return scored.agg(
-        (F.sum(F.col("_n") * loss) / total).alias("cost"),
-        *((F.sum(F.col("_n") * error * v) / total).alias(f"g_{c}") for c, v in zip(model.columns, values, strict=True)),
-        (F.sum(F.col("_n") * error) / total).alias("g_bias"),
-    )
+        shifts = zip(values.items(), model.means, model.scales, strict=True)
+        values = {name: f"(({v}) - ({m!r}D)) / ({s!r}D)" for (name, v), m, s in shifts}
+    inputs = df.selectExpr(*(f"{v} AS {name}" for name, v in values.items()), f"{label} AS y", f"{n} AS n")
+    score = " + ".join(f"({w!r}D) * {x}" for x, w in zip(values, model.weights, strict=True))
+    scored = inputs.selectExpr("*", f"1D / (1D + exp(-({score} + ({model.bias!r}D)))) AS p1")
+    loss = f"-ln(greatest(CASE WHEN y = 0 THEN 1D - p1 ELSE p1 END, {MIN_PROBABILITY!r}D))"
+    means = {"cost": loss, **{f"g_{x[2:]}": f"(p1 - y) * {x}" for x in values}, "g_bias": "p1 - y"}
+    return scored.agg(*(F.expr(f"sum(n * ({v})) / sum(n) AS {name}") for name, v in means.items()))
 
 
 def logistic_gd(
@@ -115,6 +114,7 @@ def logistic_gd(
     weights, bias, costs = [0.0] * len(columns), 0.0, []
     for _ in range(epochs):
         model = LinearModel(columns, tuple(weights), bias, means, scales)
+        # Only these few numbers reach the driver.
         cost, *gradient, g_bias = gradient_step(features, model).first()
         costs.append(cost)
         weights = [w - 2.0 * rate * g for w, g in zip(weights, gradient, strict=True)]

@@ -104,12 +104,12 @@ def test_edit_sigmoid_matches_the_full_distance(spark):
         return "".join(chars)
 
     cases = []
-    for size in (0, 5, 60, 1100, 2600):
+    for size in (0, 5, 60, 1100):
         for edits in (0, 1, 5, 30, 36, 37, 60):
             t = "".join(rng.choice("abcdeéñ ") for _ in range(size))
             cases += [(t, noisy(t, edits)), (noisy(t, edits), t)]
-    long = "".join(rng.choice("abcd") for _ in range(3000))
-    cases += [(long, long[:1500] + "x" + long[1500:]), (long, "well " + long), (long, long[::-1]), (None, "nan"), ("", None)]
+    long = "".join(rng.choice("abcd") for _ in range(1500))
+    cases += [(long, long[:700] + "x" + long[700:]), (long, "well " + long), (long, long[::-1]), (None, "nan"), ("", None)]
     got = run(spark, sm.edit_sigmoid(a(), b()), cases)
     want = [1 / (1 + math.exp(-levenshtein((a if a is not None else "nan").lower(), (b if b is not None else "nan").lower())))
             for a, b in cases]
