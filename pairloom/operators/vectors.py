@@ -162,15 +162,15 @@ def relaxed_mover_distance(pairs: DataFrame, vectors: DataFrame, limit: int = BR
         return F.transform(split_blanks(F.lower(as_text(F.col(name)))),
                            lambda t: F.struct(F.lit(side).alias("side"), t.alias("token")))
 
-    rows = pairs.select("id", F.explode(F.concat(tagged("question1", 1), tagged("question2", 2))).alias("s"))
+    rows = pairs.select("id", F.explode_outer(F.concat(tagged("question1", 1), tagged("question2", 2))).alias("s"))
     rows = rows.select("id", "s.side", "s.token")
     counted = rows.groupBy("id", "side", "token").agg(F.count("*").cast("double").alias("w"))
-    words = lookup_join(counted, vectors.select("token", "vec"), "token", how="inner", limit=limit)
+    words = lookup_join(counted, vectors.select("token", "vec"), "token", limit=limit)
 
     def side_list(side: int, name: str) -> Column:
-        return F.collect_list(F.when(F.col("side") == side, F.col(name)))
+        return F.collect_list(F.when((F.col("side") == side) & F.col("vec").isNotNull(), F.col(name)))
 
-    # One group holds the distinct words of one pair of texts.
+    # One group holds the distinct words of one pair of texts; without any it has empty lists.
     both = words.groupBy("id").agg(*(side_list(i, c).alias(f"{c}{i}") for i in (1, 2) for c in ("w", "vec")))
 
     def nearest(a: np.ndarray, wa: np.ndarray, b: np.ndarray) -> float:
@@ -196,6 +196,4 @@ def relaxed_mover_distance(pairs: DataFrame, vectors: DataFrame, limit: int = BR
                 out.append(max(nearest(a, wa, b), nearest(b, wb, a)))
             yield pd.Series(out, dtype="float64")
 
-    scored = both.select("id", mover("w1", "vec1", "w2", "vec2").alias("rwmd"))
-    return pairs.select("id").join(scored, "id", "left").select(
-        "id", F.coalesce("rwmd", F.lit(float("inf"))).alias("rwmd"))
+    return both.select("id", mover("w1", "vec1", "w2", "vec2").alias("rwmd"))
