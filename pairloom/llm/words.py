@@ -32,7 +32,7 @@ def lower_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
     A text that is null or has no words has none.
     """
-    filled = pc.fill_null(texts, "").cast(pa.large_string())
+    filled = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_trim(pc.ascii_lower(filled), characters=SPACES))
     flat = pc.list_flatten(lists)
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
