@@ -20,10 +20,12 @@ PERCENT = 75
 MINIMA = 128
 BANDS = 32
 BITS = 4
-#: A pair is sifted out only where its estimate is five standard errors below the limit.
-MARGIN = 0.2
-#: Rows of a bucket that one task compares with each other, and pairs of one document that one task checks.
+#: A pair is sifted out only where its estimate is four and a half standard errors below the limit.
+MARGIN = 0.18
+#: Pairs of one document that one task checks.
 BLOCK = 1024
+#: Rows of a block of a bucket; beyond one block pairs are decided where they meet.
+LARGE = 128
 _SLICE = 512
 _SEED = 20_231
 
@@ -102,24 +104,31 @@ def estimate(a: str, b: str) -> Column:
     return ((MINIMA - reduce(Column.__add__, apart)) / MINIMA - chance) / (1 - chance)
 
 
+def _similar(x: str, y: str, percent: int) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return 100 * shared >= percent * (F.size(x) + F.size(y) - shared)
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, items`` for the documents named in ``ids``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    sets = texts.join(ids.distinct(), "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
+    return stage(sets, "sets").dropDuplicates(["id"])
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough.
 
-    Sets are made for documents of pairs only. The set of a document with many
-    pairs is copied once for each 1,024 of them.
+    The set of a document with many pairs is copied once for each 1,024 of them.
     """
     pairs = stage(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    sets = stage(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, items array<long>"), "sets").dropDuplicates(["id"])
+    sets = _full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
     left = sets.withColumnRenamed("id", "a").join(slices, "a").select(
         "a", F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     right = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
     right = right.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return left.join(right.drop("slices"), ["a", "slice"]).where(
-        100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return left.join(right.drop("slices"), ["a", "slice"]).where(_similar("x", "y", percent)).select("a", "b")
 
 
 def _to_centres(rows: DataFrame) -> DataFrame:
@@ -128,26 +137,37 @@ def _to_centres(rows: DataFrame) -> DataFrame:
     return rows.join(centres, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket that are in different components, sifted by their bits.
+def _across(rows: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links between documents of a bucket that are in different components.
 
-    ``rows``: key, id, component, bits. Documents outside the largest component
-    of their bucket meet all others, in blocks of the bucket; pairs that the
-    bits reject are never rows.
+    ``rows``: key, band, id, component, bits, bands. Documents outside the
+    largest component of their bucket meet all others, each pair in the first
+    band it shares. In small buckets the bits name candidates for ``_confirm``.
+    In large ones the full sets come along, in blocks of the bucket, so that
+    only true links become rows.
     """
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("key").agg(
         F.max(F.struct("n", "component")).component.alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    buckets = buckets.where("parts > 1").select("key", "most", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mixed = rows.join(buckets, "key")
-    few = mixed.where(F.col("component") != F.col("most")).select(
-        "key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("xa"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    every = mixed.select(
-        "key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("xb"),
-        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    met = few.join(every, ["key", "block"]).where((F.col("ca") != F.col("cb")) & (estimate("xa", "xb") >= least))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    buckets = buckets.where("parts > 1").select("key", "most", "n", F.ceil(F.col("n") / LARGE).cast("int").alias("blocks"))
+    mixed = stage(rows.join(buckets, "key"), "mixed")
+    earlier = [(F.col("band") > k) & (F.get("bands", F.lit(k)) == F.get("others", F.lit(k))) for k in range(BANDS)]
+    fresh = (F.col("component") != F.col("other_component")) & (estimate("bits", "other_bits") >= least) & ~reduce(Column.__or__, earlier)
+
+    def met(side: DataFrame, condition: Column, *more: str) -> DataFrame:
+        few = side.where(F.col("component") != F.col("most")).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        every = side.select(
+            "key", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("bits").alias("other_bits"),
+            F.col("bands").alias("others"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+            *(F.col(c).alias(f"other_{c}") for c in more))
+        return few.join(every, ["key", "block"]).where(condition).select(
+            F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+    small, large = mixed.where(F.col("n") <= LARGE), mixed.where(F.col("n") > LARGE)
+    links = _confirm(met(small, fresh), docs, percent)
+    large = large.join(_full_sets(docs, large.select("id")), "id")
+    return links.union(met(large, fresh & _similar("items", "other_items", percent), "items"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, margin: float = MARGIN) -> DataFrame:
@@ -162,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, margin: float = MAR
 
     Equal sets are joined first, by digest. Documents that share a band meet
     their bucket's smallest id; then those still in different components meet
-    one another. A pair at the limit shares one of 32 bands of four minima with
+    the others. A pair at the limit shares one of 32 bands of four minima with
     probability 0.999995, so links are complete but for that; every link is
     confirmed on the full sets.
     """
@@ -172,17 +192,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, margin: float = MAR
     classes = stage(sized.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     first = sized.withColumnRenamed("doc_id", "id").join(classes.select("digest", "id"), ["digest", "id"], "left_semi")
     first = stage(first.select("id", "bands", "bits").dropDuplicates(["id"]), "representatives")
-    keyed = stage(first.select("id", F.explode("bands").alias("key")), "bands")
+    keyed = stage(first.select("id", F.posexplode("bands").alias("band", "key")), "bands")
     bits = first.select("id", "bits")
 
     near = _to_centres(keyed)
     near = near.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("xa")), "a")
     near = near.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("xb")), "b")
     links = stage(_confirm(near.where(estimate("xa", "xb") >= least).select("a", "b"), docs, percent), "links")
-    inside = stage(first.select("id", "bits").join(connected_components(links), "id", "left").select(
-        "id", "bits", F.coalesce("component", "id").alias("component")), "inside")
-    more = stage(_confirm(_across(keyed.join(inside, "id"), least), docs, percent), "links")
-    found = connected_components(links.union(more))
+    found = connected_components(links)
+    inside = first.join(found, "id", "left").select("id", "bits", "bands", F.coalesce("component", "id").alias("component"))
+    found = connected_components(links.union(stage(_across(keyed.join(inside, "id"), docs, percent, least), "links")))
 
     groups = classes.join(found, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
     large = F.broadcast(stage(groups.where(F.col("n") * 200 > rows.count()), "large"))  # at most 199 rows
