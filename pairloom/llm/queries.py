@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.chat import read_back, segments
+from pairloom.llm.context_tree import score_texts
 from pairloom.llm.decontamination import contaminated
+from pairloom.llm.html_extraction import main_text
 from pairloom.llm.mixing import mix_sources
 from pairloom.llm.near_duplicates import near_duplicates
 from pairloom.llm.quality import quality_rules
 from pairloom.llm.sharding import shard_documents
+from pairloom.llm.token_counts import token_counts
 from pairloom.llm.urls import RULES, judge_urls
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -21,10 +24,18 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_context_tree(spark, sf):
+    return score_texts(_table(spark, sf, "documents"))
+
+
 def op2_near_duplicates(spark, sf):
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+def op3_token_counts(spark, sf):
+    return token_counts(_table(spark, sf, "documents"))
+
+
 def op4_mixing(spark, sf):
     return mix_sources(_table(spark, sf, "documents")).drop("times")
 
@@ -45,6 +56,10 @@ def op8_decontamination(spark, sf):
     return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op9_main_text(spark, sf):
+    return main_text(_table(spark, sf, "pages"))
+
+
 def op10_chat_format(spark, sf):
     rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, k, role, PLANTED) for k, role in enumerate(("user", "assistant"))], rows.schema)
@@ -57,4 +72,5 @@ def pipeline(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_near_duplicates, op4_mixing, op5_sharding, op6_quality_rules, op7_url_filter, op8_decontamination, op10_chat_format, pipeline)}
+    op1_context_tree, op2_near_duplicates, op3_token_counts, op4_mixing, op5_sharding, op6_quality_rules, op7_url_filter,
+    op8_decontamination, op9_main_text, op10_chat_format, pipeline)}
