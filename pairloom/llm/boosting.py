@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-ROUNDS, LEVELS, RATE, BINS, RIDGE, LEAST = 30, 4, 0.3, 32, 1.0, 8
+ROUNDS, LEVELS, RATE, BINS, RIDGE, LEAST = 60, 4, 0.25, 32, 1.0, 8
 
 
 class Trees:

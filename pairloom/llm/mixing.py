@@ -47,14 +47,15 @@ def source_targets(
 def fit_counts(lengths: list[int], counts: list[int], budget: int, span: int = SPAN) -> list[int]:
     """How many documents of each length to take, so that their words come as near to ``budget`` as can be, never above.
 
-    Each length gives the same share first, rounded down; long ones then fill up
-    until less than ``span`` words are left, which a bounded knapsack fits: bits
+    Of what goes beyond half a ``span`` each length gives the same share, rounded
+    down; long ones then fill up until less than ``span`` words are left, which a
+    bounded knapsack fits as well as can be: bits
     of a whole number stand for reachable sums, counts go in by powers of two.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if total <= budget:
         return list(counts)
-    taken = [c * budget // total for c in counts]
+    taken = [c * max(0, budget - span // 2) // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, taken))
     for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
         if left <= span:
