@@ -131,16 +131,16 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return left.join(right.drop("slices"), ["a", "slice"]).where(_similar("x", "y", percent)).select("a", "b")
 
 
-def _to_centres(rows: DataFrame) -> DataFrame:
-    """Pairs of each document of a bucket with the bucket's smallest one."""
-    centres = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
-    return rows.join(centres, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+def _shared_buckets(keyed: DataFrame) -> DataFrame:
+    """The rows of buckets with two documents or more, with the bucket's smallest id ``a``."""
+    centres = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return stage(keyed.join(centres, "key"), "buckets")
 
 
-def _across(rows: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
+def _across(rows: DataFrame, signs: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
     """Links between documents of a bucket that are in different components.
 
-    ``rows``: key, band, id, component, bits, bands. Documents outside the
+    ``rows``: key, band, id, component; ``signs``: id, bits, bands. Documents outside the
     largest component of their bucket meet all others, each pair in the first
     band it shares. In small buckets the bits name candidates for ``_confirm``.
     In large ones the full sets come along, in blocks of the bucket, so that
@@ -150,7 +150,7 @@ def _across(rows: DataFrame, docs: DataFrame, percent: int, least: float) -> Dat
     buckets = parts.groupBy("key").agg(
         F.max(F.struct("n", "component")).component.alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
     buckets = buckets.where("parts > 1").select("key", "most", "n", F.ceil(F.col("n") / LARGE).cast("int").alias("blocks"))
-    mixed = stage(rows.join(buckets, "key"), "mixed")
+    mixed = stage(rows.join(buckets, "key").join(signs, "id"), "mixed")
     earlier = [(F.col("band") > k) & (F.get("bands", F.lit(k)) == F.get("others", F.lit(k))) for k in range(BANDS)]
     fresh = (F.col("component") != F.col("other_component")) & (estimate("bits", "other_bits") >= least) & ~reduce(Column.__or__, earlier)
 
@@ -192,16 +192,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, margin: float = MAR
     classes = stage(sized.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     first = sized.withColumnRenamed("doc_id", "id").join(classes.select("digest", "id"), ["digest", "id"], "left_semi")
     first = stage(first.select("id", "bands", "bits").dropDuplicates(["id"]), "representatives")
-    keyed = stage(first.select("id", F.posexplode("bands").alias("band", "key")), "bands")
+    buckets = _shared_buckets(first.select("id", F.posexplode("bands").alias("band", "key")))
     bits = first.select("id", "bits")
 
-    near = _to_centres(keyed)
+    near = buckets.where("id != a").select("a", F.col("id").alias("b")).distinct()
     near = near.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("xa")), "a")
     near = near.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("xb")), "b")
     links = stage(_confirm(near.where(estimate("xa", "xb") >= least).select("a", "b"), docs, percent), "links")
     found = connected_components(links)
-    inside = first.join(found, "id", "left").select("id", "bits", "bands", F.coalesce("component", "id").alias("component"))
-    found = connected_components(links.union(stage(_across(keyed.join(inside, "id"), docs, percent, least), "links")))
+    inside = buckets.join(found, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    found = connected_components(links.union(stage(_across(inside, first, docs, percent, least), "links")))
 
     groups = classes.join(found, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
     large = F.broadcast(stage(groups.where(F.col("n") * 200 > rows.count()), "large"))  # at most 199 rows
