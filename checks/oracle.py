@@ -186,31 +186,32 @@ STEPS |= {
 }
 
 
-def _descent_steps(prefix: str, source: str) -> dict[str, str]:
-    """Twenty full-batch steps on standardised features, as a recursive query."""
-    p, names = prefix, ("cosine", "edit_sig", "common")
-    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in names)
+def _descent_steps(prefix: str, source: str, names: tuple[str, ...] = ("cosine", "edit_sig", "common"), raw: bool = False) -> dict[str, str]:
+    """A hundred full-batch steps on standardised (or raw) features, as a recursive query."""
+    p = prefix
+    stats = ", ".join(f"0 AS m_{c}, 1 AS s_{c}" if raw else f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in names)
     z = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END AS x_{c}" for c in names)
     score = " + ".join(f"w_{c} * x_{c}" for c in names) + " + bias"
     update = ", ".join(f"any_value(w_{c}) - 0.12::DOUBLE * avg((p - y) * x_{c})" for c in names)
     zeros = ", ".join(f"0.0::DOUBLE AS w_{c}" for c in names)
     return {
-        f"{p}stats": f"SELECT {stats} FROM {source}",
+        f"{p}stats": f"SELECT {stats}" + ("" if raw else f" FROM {source}"),
         f"{p}z": f"SELECT id, {z}, is_duplicate AS y FROM {source}, {p}stats",
         f"{p}gd": f"SELECT 0 AS epoch, {zeros}, 0.0::DOUBLE AS bias, NULL::DOUBLE AS cost UNION ALL "
                   f"SELECT epoch + 1, {update}, any_value(bias) - 0.12::DOUBLE * avg(p - y), "
                   f"avg(-ln(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-15::DOUBLE))) "
-                  f"FROM (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM {p}gd, {p}z WHERE epoch < 20) GROUP BY epoch",
+                  f"FROM (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM {p}gd, {p}z WHERE epoch < 100) GROUP BY epoch",
     }
 
 
 STEPS |= _descent_steps("all_", "feat")
+STEPS |= _descent_steps("raw_", "feat", ("cosine", "edit_sig"), raw=True)
 STEPS |= {"fit_rows": "SELECT * FROM fitted WHERE fit"}
 STEPS |= _descent_steps("fit_", "fit_rows")
 STEPS |= {
     "held": "SELECT id, is_duplicate, CASE WHEN bias + " + " + ".join(
         f"w_{c} * ({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END" for c in ("cosine", "edit_sig", "common")
-    ) + " > 0 THEN 1 ELSE 0 END AS prediction FROM fitted, fit_stats, fit_gd WHERE NOT fit AND epoch = 20",
+    ) + " > 0 THEN 1 ELSE 0 END AS prediction FROM fitted, fit_stats, fit_gd WHERE NOT fit AND epoch = 100",
 }
 _MATERIALIZED = {
     "pairs", "test", "feat", "t_feat", "lists", "words", "vocab", "pooled", "means", "cells", "vectors", "lowbags",
@@ -237,6 +238,16 @@ def _sql(select: str) -> str:
     return f"WITH RECURSIVE {', '.join(steps)} {select}" if steps else select
 
 
+def _looked_up(vocabulary: str) -> str:
+    """The last words of each text in a vocabulary; unknown ones have the index and the (zero) vector of entry 0."""
+    return (
+        f"SELECT w.id, side::BIGINT AS side, (pos - greatest(size - 30, 0))::BIGINT AS pos, coalesce(v.idx, 0)::BIGINT AS idx, "
+        f"{_r6('coalesce(first, 0)')} AS first, {_r6('coalesce(norm, 0)')} AS norm "
+        f"FROM (SELECT * FROM words WHERE size - pos <= 30) w LEFT JOIN (SELECT token, idx, vec[1] AS first, "
+        f"sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS norm FROM {vocabulary} LEFT JOIN vectors USING (token)) v USING (token)"
+    )
+
+
 def _r6(x: str) -> str:
     return f"round({x}, 6) + 0.0::DOUBLE"
 
@@ -333,16 +344,14 @@ SELECTS = {
                         f"{_r6('coalesce(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 0)')} AS norm FROM "
                         f"(SELECT token, idx FROM vocab UNION ALL VALUES ('<UNK>', 0), ('<PAD>', 1)) "
                         f"LEFT JOIN vectors USING (token)",
-    "embedding_lookup": f"SELECT w.id, side::BIGINT AS side, (pos - greatest(size - 30, 0))::BIGINT AS pos, "
-                        f"v.idx::BIGINT AS idx, {_r6('coalesce(vec[1], 0)')} AS first, "
-                        f"{_r6('coalesce(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 0)')} AS norm "
-                        f"FROM words w JOIN vocab v USING (token) LEFT JOIN vectors USING (token) WHERE size - pos <= 30",
+    "embedding_lookup": _looked_up("vocab"),
+    "embedding_lookup_small_cap": _looked_up("(SELECT * FROM vocab WHERE idx <= 500)"),
     "pooled_sum": f"SELECT id, side::BIGINT AS side, d::BIGINT AS d, {_r6('x')} AS x FROM pooled",
     "pooled_mean": f"SELECT id, side::BIGINT AS side, d::BIGINT AS d, {_r6('x')} AS x FROM means",
     "pooled_idf": f"SELECT id, side::BIGINT AS side, d::BIGINT AS d, {_r6('coalesce(s, 0)')} AS x "
                   f"FROM frame LEFT JOIN idfsums USING (id, side, d)",
     "pair_distance": f"SELECT id, {_r6('distance')} AS distance FROM distances",
-    "distance_threshold_predict": "SELECT id, CASE WHEN distance < 0.3::DOUBLE THEN 1 ELSE 0 END::BIGINT AS prediction "
+    "distance_threshold_predict": "SELECT id, CASE WHEN distance < 0.7::DOUBLE THEN 1 ELSE 0 END::BIGINT AS prediction "
                                   "FROM distances",
     "pooled_distance_scores": f"SELECT id, {_r6('distance')} AS distance, "
                               f"CASE WHEN distance < 0.7::DOUBLE THEN 1 ELSE 0 END::BIGINT AS prediction FROM prefix_distances",
@@ -359,8 +368,10 @@ SELECTS = {
     "cross_entropy": f"SELECT {_r6(_LOSS)} AS cross_entropy FROM scored",
     "gradient_step": f"SELECT {_r6(_LOSS)} AS cost, {_GRADIENT}, {_r6('avg(p1 - is_duplicate)')} AS g_bias FROM scored",
     "logistic_gd": f"SELECT name, {_r6('value')} AS value FROM (UNPIVOT (SELECT w_cosine AS cosine, w_edit_sig AS edit_sig, "
-                   f"w_common AS common, bias FROM all_gd WHERE epoch = 20) "
+                   f"w_common AS common, bias FROM all_gd WHERE epoch = 100) "
                    f"ON cosine, edit_sig, common, bias INTO NAME name VALUE value)",
+    "logistic_gd_raw": f"SELECT name, {_r6('value')} AS value FROM (SELECT w_cosine AS cosine, w_edit_sig AS edit_sig, bias FROM raw_gd WHERE epoch = 100) "
+                       f"UNPIVOT (value FOR name IN (cosine, edit_sig, bias))",
     "epoch_cost": f"SELECT epoch::BIGINT AS epoch, {_r6('cost')} AS cost FROM all_gd WHERE epoch > 0",
     "holdout_accuracy": f"SELECT count(*) AS n, {_r6(f'avg({_HIT})')} AS accuracy FROM held",
     "holdout_outcomes": "SELECT is_duplicate::BIGINT AS is_duplicate, prediction::BIGINT AS prediction, count(*) AS n "

@@ -43,7 +43,8 @@ BATCH = 128
 CHUNK = 300
 PREFIX = 16
 FIRST_ROWS = 100
-EPOCHS = 20
+EPOCHS = 100
+SMALL_CAP = 500
 
 # Fixed weights for forward passes, the same in the SQL.
 FIXED = rg.LinearModel(BASIC3, (2.0, -3.0, 0.01), 1.0)
@@ -298,12 +299,21 @@ def embedding_matrix(spark, sf):
                     F.size("vec").cast("long").alias("width"), r6(_norm("vec")).alias("norm"))
 
 
-def embedding_lookup(spark, sf):
-    rows = vb.encode_long(sp.train_pairs(spark, sf), matrix_table(spark, sf).select("token", "idx", "vec"))
+def _looked_up(spark, sf, matrix: DataFrame) -> DataFrame:
+    rows = vb.encode_long(sp.train_pairs(spark, sf), matrix.select("token", "idx", "vec"))
     return rows.select("id", *big("side", "pos", "idx"), r6(F.element_at("vec", 1).cast("double")).alias("first"),
                        r6(_norm("vec")).alias("norm"))
 
 
+def embedding_lookup(spark, sf):
+    return _looked_up(spark, sf, matrix_table(spark, sf))
+
+
+def embedding_lookup_small_cap(spark, sf):
+    """Most words are unknown to this vocabulary."""
+    return _looked_up(spark, sf, matrix_table(spark, sf).where(F.col("idx") <= SMALL_CAP))
+
+
 def _shown_vectors(df: DataFrame) -> DataFrame:
     """One row per component."""
     keys = [c for c in ("id", "side") if c in df.columns]
@@ -337,7 +347,7 @@ def pair_distance(spark, sf):
 
 def distance_threshold_predict(spark, sf):
     sides = vc.pair_sides(_pooled(spark, sf), WIDTH)
-    return run_head(DistanceHead(0.3), sides).select("id", *big("prediction"))
+    return run_head(DistanceHead(), sides).select("id", *big("prediction"))
 
 
 def pooled_distance_scores(spark, sf):
@@ -421,6 +431,13 @@ def logistic_gd(spark, sf):
     return _descent(spark, sf, table).parameters(table).select("name", r6("value").alias("value"))
 
 
+def logistic_gd_raw(spark, sf):
+    """Descent on raw features that stay small: cosine and edit curve."""
+    table = feature_table(spark, sf)
+    model = rg.logistic_gd(table, BASIC3[:2], epochs=EPOCHS, standardize=False)
+    return model.parameters(table).select("name", r6("value").alias("value"))
+
+
 def epoch_cost(spark, sf):
     table = feature_table(spark, sf)
     return _descent(spark, sf, table).cost_curve(table).select(*big("epoch"), r6("cost").alias("cost"))
@@ -551,6 +568,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_prefix": vector_prefixes,
     "embedding_matrix": embedding_matrix,
     "embedding_lookup": embedding_lookup,
+    "embedding_lookup_small_cap": embedding_lookup_small_cap,
     "pooled_sum": pooled_sum,
     "pooled_mean": pooled_mean,
     "pooled_idf": pooled_idf,
@@ -571,6 +589,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gradient_step": gradient_step,
     "logistic_gd": logistic_gd,
     "epoch_cost": epoch_cost,
+    "logistic_gd_raw": logistic_gd_raw,
     "holdout_accuracy": holdout_accuracy,
     "holdout_outcomes": holdout_outcomes,
     "batch_accuracy": batch_accuracy,

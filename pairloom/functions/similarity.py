@@ -20,6 +20,8 @@ from pairloom.functions.text import as_text
 IDF_SHARED = 1.0
 IDF_SECOND_ONLY = 1.0 + math.log(2.0)
 _BLOCK = 256
+# Limits that the full distance tries on longer texts before it measures everything.
+_LIMITS = (64, 512, 4096)
 
 
 def sigmoid(x: Column) -> Column:
@@ -149,11 +151,18 @@ def folded(text: Column) -> Column:
 def edit_distance(text1: Column, text2: Column) -> Column:
     """Full edit distance in characters, on lower-cased raw texts.
 
-    A text inside the other one is as far away as the lengths differ.
+    A text inside the other one is as far away as the lengths differ. Else equal
+    ends of long texts are cut off and limits are tried that grow eightfold, so
+    that the cost follows length times distance.
     """
     a, b = folded(text1), folded(text2)
     gap = F.abs(F.length(a) - F.length(b))
-    return F.when(F.contains(a, b) | F.contains(b, a), gap).otherwise(F.levenshtein(a, b))
+
+    def measured(p: Column) -> Column:
+        tries = [F.when(F.length(p["a"]) + F.length(p["b"]) > 4 * n, F.levenshtein(p["a"], p["b"], n)) for n in _LIMITS]
+        return F.coalesce(*(F.nullif(t, F.lit(-1)) for t in tries), F.levenshtein(p["a"], p["b"]))
+
+    return F.when(F.contains(a, b) | F.contains(b, a), gap).otherwise(_let(_without_equal_ends(a, b), measured))
 
 
 def _equal_blocks(a: Column, b: Column, from_end: bool) -> Column:
@@ -170,8 +179,8 @@ def _equal_blocks(a: Column, b: Column, from_end: bool) -> Column:
     return F.when(blocks == 0, 0).otherwise(equal)
 
 
-def _bounded_distance(a: Column, b: Column, limit: int) -> Column:
-    """Edit distance up to ``limit``, else -1; equal ends of long texts are cut off first.
+def _without_equal_ends(a: Column, b: Column) -> Column:
+    """Struct (a, b): two texts, equal ends of long ones cut off.
 
     Dropping a shared beginning or ending never changes an edit distance, so
     near copies of long texts do not pay for their length squared.
@@ -183,15 +192,19 @@ def _bounded_distance(a: Column, b: Column, limit: int) -> Column:
         rest = [F.substr(t, n + 1, F.length(t)) for t in (a, b)]
         tail = F.when(long, _equal_blocks(rest[0], rest[1], True)).otherwise(0)
         pair = F.struct(rest[0].alias("a"), rest[1].alias("b"), tail.alias("n"))
-        return _let(pair, lambda p: F.levenshtein(
-            F.substr(p["a"], F.lit(1), F.length(p["a"]) - p["n"]),
-            F.substr(p["b"], F.lit(1), F.length(p["b"]) - p["n"]),
-            limit,
+        return _let(pair, lambda p: F.struct(
+            F.substr(p["a"], F.lit(1), F.length(p["a"]) - p["n"]).alias("a"),
+            F.substr(p["b"], F.lit(1), F.length(p["b"]) - p["n"]).alias("b"),
         ))
 
     return _let(head, after_head)
 
 
+def _bounded_distance(a: Column, b: Column, limit: int) -> Column:
+    """Edit distance up to ``limit``, else -1."""
+    return _let(_without_equal_ends(a, b), lambda p: F.levenshtein(p["a"], p["b"], limit))
+
+
 def edit_sigmoid(text1: Column, text2: Column) -> Column:
     """Logistic curve of the edit distance, exact in double precision.
 

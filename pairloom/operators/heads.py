@@ -8,13 +8,14 @@ from typing import Protocol
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.constants import DISTANCE_THRESHOLD, NORM_EPSILON
 from pairloom.functions.arrays import joint_vector
 from pairloom.functions.scoring import argmax2, softmax2, threshold_decision
 from pairloom.functions.similarity import normalized_distance
+from pairloom.operators.regression import class_label
 from pairloom.operators.vectors import batch_normalize, component_moments, moment_values, normalize_per_batch
 from pairloom.sources.tables import stage
 
@@ -86,8 +87,9 @@ class DenseHead:
 
     @classmethod
     def fit(cls, sides: DataFrame, labels: DataFrame, reg: float = 1e-3, epochs: int = 100) -> DenseHead:
-        """Fit the layer on normalised joint vectors; ``labels`` is (id, is_duplicate)."""
-        rows = stage(joint(sides).join(labels, "id"), "joint")
+        """Fit the layer on normalised joint vectors; ``labels`` is (id, is_duplicate), rows without a label are left out."""
+        known = labels.where(F.col("is_duplicate").isNotNull()).withColumn("is_duplicate", class_label("is_duplicate"))
+        rows = stage(joint(sides).join(known, "id"), "joint")
         means, variances = moment_values(component_moments(rows))
         z = batch_normalize(F.col("vec"), _numbers(means), _numbers(variances))
         data = rows.select(array_to_vector(z).alias("x"), F.col("is_duplicate").cast("double").alias("y"))
@@ -98,6 +100,21 @@ class DenseHead:
         return cls(means, variances, (w[0].tolist(), w[1].tolist()), (float(b[0]), float(b[1])))
 
 
+def save_head(head: DenseHead, spark: SparkSession, path: str) -> None:
+    """Keep a head as a small Parquet table: one row for each component, and one (d = -1) for the biases."""
+    rows = [(d, *map(float, x)) for d, x in enumerate(zip(head.means, head.variances, *head.weights, strict=True))]
+    rows.append((-1, head.epsilon, 0.0, *map(float, head.biases)))
+    table = spark.createDataFrame(rows, "d int, mean double, var double, w0 double, w1 double")
+    table.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_head(spark: SparkSession, path: str) -> DenseHead:
+    biases, *rows = spark.read.parquet(path).orderBy("d").collect()
+    return DenseHead(
+        [r["mean"] for r in rows], [r["var"] for r in rows], ([r["w0"] for r in rows], [r["w1"] for r in rows]),
+        (biases["w0"], biases["w1"]), biases["mean"])
+
+
 def run_head(head: PairHead, sides: DataFrame) -> DataFrame:
     """Score and decide."""
     return head.decide(head.score(sides))

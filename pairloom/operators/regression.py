@@ -7,6 +7,7 @@ weights and the cost of a step reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -77,18 +78,26 @@ def standard_scales(df: DataFrame, columns: Sequence[str]) -> tuple[tuple[float,
     return tuple(means), tuple(s if s > 0 else 1.0 for s in scales)
 
 
+def class_label(label: str) -> Column:
+    """Class 0 for label 0, class 1 for any other, NULL for none."""
+    return F.when(F.col(label).isNull(), None).when(F.col(label) == 0, 0).otherwise(1)
+
+
 def gradient_step(df: DataFrame, model: LinearModel, label: str = "is_duplicate") -> DataFrame:
     """One row: cost and gradient of the mean loss at the model's weights.
 
-    ``df`` may carry multiplicities in a column ``n``. A step is planned once
+    ``df`` may carry multiplicities in a column ``n``. Label 0 is class 0, any
+    other class 1; rows without a label are left out. A step is planned once
     per epoch, so it is written as a few SQL expressions.
     """
+    if not all(math.isfinite(x) for x in (*model.weights, model.bias, *model.means, *model.scales)):
+        raise ValueError("the weights or scales are not finite: use a smaller rate or standardised features")
     n = "CAST(n AS DOUBLE)" if "n" in df.columns else "1D"
     values = {f"x_{c}": f"CAST({c} AS DOUBLE)" for c in model.columns}
     if model.means:
         shifts = zip(values.items(), model.means, model.scales, strict=True)
         values = {name: f"(({v}) - ({m!r}D)) / ({s!r}D)" for (name, v), m, s in shifts}
-    inputs = df.selectExpr(*(f"{v} AS {name}" for name, v in values.items()), f"{label} AS y", f"{n} AS n")
+    inputs = df.where(F.col(label).isNotNull()).selectExpr(*(f"{v} AS {name}" for name, v in values.items()), f"CASE WHEN {label} = 0 THEN 0 ELSE 1 END AS y", f"{n} AS n")
     score = " + ".join(f"({w!r}D) * {x}" for x, w in zip(values, model.weights, strict=True))
     scored = inputs.selectExpr("*", f"1D / (1D + exp(-({score} + ({model.bias!r}D)))) AS p1")
     loss = f"-ln(greatest(CASE WHEN y = 0 THEN 1D - p1 ELSE p1 END, {MIN_PROBABILITY!r}D))"
@@ -110,12 +119,17 @@ def logistic_gd(
     pass a staged table, collapsed if it holds many copies.
     """
     columns = tuple(columns)
+    features = features.where(F.col("is_duplicate").isNotNull())
+    if features.isEmpty():
+        raise ValueError("there is no row with a label")
     means, scales = standard_scales(features, columns) if standardize else ((), ())
     weights, bias, costs = [0.0] * len(columns), 0.0, []
     for _ in range(epochs):
         model = LinearModel(columns, tuple(weights), bias, means, scales)
         # Only these few numbers reach the driver.
         cost, *gradient, g_bias = gradient_step(features, model).first()
+        if cost is None:
+            raise ValueError("there is no row with a label")
         costs.append(cost)
         weights = [w - 2.0 * rate * g for w, g in zip(weights, gradient, strict=True)]
         bias -= 2.0 * rate * g_bias
@@ -123,7 +137,8 @@ def logistic_gd(
 
 
 def fit_regression(features: DataFrame, columns: Sequence[str] = BASIC3, reg: float = 1e-3) -> PipelineModel:
-    """MLlib fit; a little regularisation keeps separable data finite."""
+    """MLlib fit; a little regularisation keeps separable data finite. Labels as in ``gradient_step``."""
+    features = features.where(F.col("is_duplicate").isNotNull()).withColumn("is_duplicate", class_label("is_duplicate"))
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(columns), outputCol="x"),
         LogisticRegression(featuresCol="x", labelCol="is_duplicate", predictionCol="p",

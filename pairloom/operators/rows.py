@@ -88,9 +88,11 @@ def split_by_position(
     """First floor(fraction * n) rows in key order, and the rest.
 
     Both parts are plain range filters on the key, so no row is numbered or
-    moved.
+    moved. A row without a key has no position and is an error.
     """
-    n, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
+    n, keyed, low, high = df.agg(F.count("*"), F.count(key), F.min(key), F.max(key)).first()
+    if keyed < n:
+        raise ValueError(f"{n - keyed} rows have no {key}")
     k = math.floor(fraction * n)
     if k >= n:
         return df, df.filter(F.lit(False))

@@ -34,10 +34,12 @@ def _text_rows(pairs: DataFrame, rule: str) -> DataFrame:
 
 
 def sum_vectors(rows: DataFrame, keys: Sequence[str], vec: Column, weight: Column, width: int) -> DataFrame:
-    """(keys, vec): weighted sum of vectors per key, at most ``width`` wide.
+    """(keys, vec): weighted sum of vectors per key, ``width`` wide.
 
-    Shorter vectors count as zero in the components they lack.
+    Shorter vectors count as zero in the components they lack; a longer one is
+    an error.
     """
+    vec = F.when(F.size(vec) > width, F.raise_error(F.lit(f"a vector is wider than {width}"))).otherwise(vec)
     blocks = -(-width // _BLOCK)
     parts = rows.select(*keys, weight.cast("double").alias("_w"), vec.alias("_v"))
     if blocks == 1:
@@ -143,6 +145,9 @@ def decayed_encoding(tokens: DataFrame, width: int, decay: float) -> DataFrame:
     ``tokens`` is the long encoding with a ``vec`` column.
     """
     vec = F.coalesce("vec", zero_vector(width))
+    # Padded first, so that the second half begins at the same place for each vector.
+    vec = F.when(F.size(vec) >= width, vec).otherwise(F.concat(vec, F.array_repeat(F.lit(0.0).cast("float"), F.lit(width) - F.size(vec))))
+    vec = F.when(F.size(vec) > width, F.raise_error(F.lit(f"a vector is wider than {width}"))).otherwise(vec)
     back = F.col("size") - F.col("pos") - 1
     # The last word adds to both halves, every other word to the first only.
     wide = F.when(back == 0, F.concat(vec, vec)).otherwise(vec)

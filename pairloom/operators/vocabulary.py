@@ -96,8 +96,8 @@ def encode_long(
 ) -> DataFrame:
     """(id, side, pos, size, token, ...lookup columns), one row per token kept.
 
-    ``lookup`` has unique ``token``; its other columns are NULL for unknown
-    tokens.
+    ``lookup`` has unique ``token``. An unknown token has index 0 and the other
+    columns of the lookup's unknown entry, where it has one; else NULL.
     """
     sides = _side_tokens(pairs, rule, length, [])
     tokens = (
@@ -110,7 +110,17 @@ def encode_long(
             "token",
         )
     )
-    return lookup_join(tokens, lookup, "token", limit=limit)
+    found = lookup_join(tokens, lookup.withColumn("_known", F.lit(True)), "token", limit=limit)
+    entry = lookup.where(F.col("token") == UNKNOWN_TOKEN).first()
+    for f in lookup.schema.fields:
+        if f.name == "idx":
+            value = F.lit(UNKNOWN_INDEX)
+        elif entry is None or f.name == "token" or entry[f.name] is None:
+            continue
+        else:
+            value = F.array(*map(F.lit, entry[f.name])) if isinstance(entry[f.name], list) else F.lit(entry[f.name])
+        found = found.withColumn(f.name, F.when(F.col("_known"), F.col(f.name)).otherwise(value.cast(f.dataType)))
+    return found.drop("_known")
 
 
 def encode(

@@ -4,17 +4,46 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.constants import SEQUENCE_LENGTH, VOCABULARY_CAP
-from pairloom.operators.heads import DenseHead, PairHead, run_head
+from pairloom.operators.features import decodable_pairs
+from pairloom.operators.heads import DenseHead, PairHead, load_head, run_head, save_head
 from pairloom.operators.metrics import accuracy, outcome_counts
-from pairloom.operators.rows import split_by_position
+from pairloom.operators.rows import keep_last, split_by_position
 from pairloom.operators.vectors import decayed_encoding, pair_sides
 from pairloom.operators.vocabulary import build_vocabulary, encode_long, pair_tokens, vector_matrix
 from pairloom.sources.predictions import prediction_rows
-from pairloom.sources.tables import stage
+from pairloom.sources.tables import read_table, stage, write_table
+
+
+@dataclass(frozen=True)
+class SequenceModel:
+    """What a fitted run needs to score other pairs: the matrix of word vectors (token, idx, vec) and the head."""
+
+    matrix: DataFrame
+    head: PairHead
+    width: int
+    decay: float
+
+    def score(self, test: DataFrame, rule: str = "blank") -> DataFrame:
+        """One prediction for each id; of repeated ids the last row counts."""
+        pairs = by_id(test)
+        sides = sequence_sides(pairs, self.matrix, self.width, rule, self.decay)
+        return prediction_rows(with_all_pairs(run_head(self.head, sides), pairs))
+
+    def save(self, path: str) -> None:
+        """Keep a model with a dense head under a folder."""
+        spark = self.matrix.sparkSession
+        write_table(self.matrix, f"{path}/matrix")
+        save_head(self.head, spark, f"{path}/head")
+        write_table(spark.createDataFrame([(self.width, self.decay)], "width int, decay double"), f"{path}/shape")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SequenceModel:
+        shape = read_table(spark, f"{path}/shape").first()
+        return cls(read_table(spark, f"{path}/matrix"), load_head(spark, f"{path}/head"), shape["width"], shape["decay"])
 
 
 @dataclass(frozen=True)
@@ -22,6 +51,8 @@ class SequenceRun:
     head: PairHead
     holdout: DataFrame
     predictions: DataFrame
+    vocabulary: DataFrame
+    model: SequenceModel
 
     def accuracy(self) -> DataFrame:
         return accuracy(self.holdout)
@@ -30,6 +61,13 @@ class SequenceRun:
         return outcome_counts(self.holdout)
 
 
+def by_id(test: DataFrame) -> DataFrame:
+    """Test pairs with a column ``id``: rows of the CSV reader (test_id, position) keep the last of each id."""
+    if "test_id" not in test.columns:
+        return test
+    return keep_last(test, "test_id", "position").withColumnRenamed("test_id", "id").drop("position")
+
+
 def with_all_pairs(scored: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
     """One row per pair: a pair without any token has no vectors and is no duplicate."""
     rows = pairs.select("id", *columns).join(scored, "id", "left")
@@ -49,13 +87,15 @@ def run_sequence_model(
     test_rule: str = "blank", decay: float = 0.9, cap: int = VOCABULARY_CAP,
 ) -> SequenceRun:
     """Fit the dense head on the first rows, check it on the rest, score the test pairs."""
+    train = stage(decodable_pairs(train), "train")  # ids may be generated by the reader
     vocabulary = stage(build_vocabulary(pair_tokens(train), cap), "vocabulary")
-    matrix = stage(vector_matrix(vocabulary, vectors, width), "matrix").select("token", "vec")
+    matrix = stage(vector_matrix(vocabulary, vectors, width), "matrix").select("token", "idx", "vec")
     sides = stage(sequence_sides(train, matrix, width, decay=decay), "sides")
-    labels = stage(train.select("id", "is_duplicate"), "labels")
+    labels = train.select("id", "is_duplicate")
     fit_labels, holdout_labels = split_by_position(labels)
     head = DenseHead.fit(sides, fit_labels)
     held = sides.join(holdout_labels.select("id"), "id", "left_semi")
     holdout = with_all_pairs(run_head(head, held), holdout_labels, "is_duplicate")
-    scored = run_head(head, sequence_sides(test, matrix, width, test_rule, decay))
-    return SequenceRun(head, holdout, prediction_rows(with_all_pairs(scored, test)))
+    model = SequenceModel(matrix, head, width, decay)
+    test = stage(decodable_pairs(test), "test")
+    return SequenceRun(head, holdout, model.score(test, test_rule), vocabulary, model)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is set (as in tests) a folder of this session is made and
-    set.
+    Only where none is set and all tasks run in this process (as in tests) a
+    folder of this session is made and set; on a cluster a folder of one machine
+    would hide files from the others, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -29,6 +33,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_staged: dict[str, list[str]] = {}
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this session has staged; results that read them are lost. Returns their number."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = hadoop(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
@@ -37,5 +54,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     write_table(df, path)
     return read_table(spark, path)

@@ -24,7 +24,7 @@ line two"
 def test_train_csv_is_read_by_name(spark, tmp_path):
     path = tmp_path / "train.csv"
     path.write_text(CSV)
-    got = {r.id: r for r in read_train_pairs(spark, str(path)).collect()}
+    got = {r.id: r for r in read_train_pairs(spark, str(path), multiline=True).collect()}
     want = pd.read_csv(path)
     for r in want.itertuples():
         q1, q2 = (None if pd.isna(v) else v for v in (r.question1, r.question2))
@@ -34,7 +34,7 @@ def test_train_csv_is_read_by_name(spark, tmp_path):
 def test_test_csv_keeps_the_order_of_repeats(spark, tmp_path):
     path = tmp_path / "test.csv"
     path.write_text("test_id,question1,question2\n4,first,x\n5,only,y\n4,last,z\n")
-    df = read_test_pairs(spark, str(path))
+    df = read_test_pairs(spark, str(path), multiline=True)
     assert df.columns == ["test_id", "position", "question1", "question2"]
     assert [r.question1 for r in df.orderBy("position").collect()] == ["first", "only", "last"]
 
