@@ -104,3 +104,17 @@ def test_pair_profile(pairs):
     row = mt.pair_profile(pairs).first()
     assert (row.n_pairs, row.null1, row.null2, row.n_duplicate) == (5, 0, 1, 2)
     assert (row.min_len1, row.max_len1, row.min_len2) == (1, 6, 1)
+
+
+def test_labels_other_than_zero_are_class_one(spark):
+    from pairloom.operators.regression import LinearModel, gradient_step, logistic_gd
+
+    model = LinearModel(("x",), (0.0,), 0.0)
+    rows = spark.createDataFrame([(1.0, 2), (3.0, 0), (5.0, None)], "x double, is_duplicate int")
+    step = gradient_step(rows, model).first()
+    assert (step.g_bias, step.g_x) == (0.0, (-0.5 * 1.0 + 0.5 * 3.0) / 2)
+    for empty in (rows.limit(0), rows.where("x = 5")):
+        with pytest.raises(ValueError):
+            logistic_gd(empty, ("x",), epochs=1)
+    with pytest.raises(ValueError):
+        gradient_step(rows, LinearModel(("x",), (float("nan"),), 0.0))

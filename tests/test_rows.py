@@ -79,3 +79,10 @@ def test_keep_last_with_a_hot_key(spark):
 
 def test_first_rows(table, ids):
     assert [r.id for r in rw.first_rows(table, 10).collect()] == ids[:10]
+
+
+def test_rows_without_a_key_have_no_position(spark):
+    from pairloom.operators.rows import split_by_position
+
+    with pytest.raises(ValueError):
+        split_by_position(spark.createDataFrame([(1,), (None,)], "id long"))

@@ -140,3 +140,17 @@ def test_features_need_no_shuffle(spark, pairs, tmp_path):
     pairs.write.parquet(str(tmp_path / "p"))
     plan = pair_features(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_equal_ends_of_long_texts_cost_no_square(spark):
+    import random
+
+    from pairloom.functions.similarity import edit_distance
+
+    rng = random.Random(1)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    b = list(a)
+    for k in range(50):
+        b[50_000 + k * 19] = "#"
+    df = spark.createDataFrame([(a, "".join(b))], "a string, b string")
+    assert df.select(edit_distance(F.col("a"), F.col("b")).alias("d")).first().d == 50

@@ -92,3 +92,32 @@ def test_sequence_model_end_to_end(spark):
     assert run.accuracy().first().n == 40
     assert sum(r.n for r in run.outcomes().collect()) == 40
     assert run.predictions.count() == test.count()
+
+
+def test_sequence_model_is_kept_and_scores_csv(spark, tmp_path):
+    from pairloom.plans.sequence_model import SequenceModel
+
+    train = sp.train_pairs(spark, SF)
+    vocab = stage(build_vocabulary(pair_tokens(train)), "v")
+    vectors = stage(vectors_by_rank(vocab, sp.table(spark, SF, "embeddings")), "w")
+    path = tmp_path / "test.csv"
+    path.write_text("test_id,question1,question2\n1,aa bb cc,dd ee ff gg\n2,the of and,the of and\n1,the and of,the and of\n3,,\n")
+    test = read_test_pairs(spark, str(path))
+    run = run_sequence_model(train, test, vectors, 64)
+    run.model.save(str(tmp_path / "model"))
+    again = SequenceModel.load(spark, str(tmp_path / "model")).score(test)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in run.predictions.collect()}
+    assert sorted(r.id for r in again.collect()) == [1, 2, 3]
+    assert run.vocabulary.count() > 0
+
+
+def test_staged_tables_can_be_dropped(spark, pairs):
+    import os
+
+    from pairloom.sources import tables
+
+    kept = tables._staged.pop(spark.sparkContext.applicationId, [])
+    folder = stage(pairs, "gone").inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    folder = "/" + folder.lstrip("/")
+    assert os.path.isdir(folder) and tables.drop_staged(spark) == 1 and not os.path.isdir(folder)
+    tables._staged[spark.sparkContext.applicationId] = kept

@@ -149,3 +149,16 @@ def test_measured_size(spark):
     size = table_bytes(df)
     assert 25 * 16 < size < 25 * 80
     assert fits_broadcast(df, size) and not fits_broadcast(df, size - 1)
+
+
+def test_vectors_of_another_width(spark):
+    from pairloom.operators.vectors import decayed_encoding, sum_vectors
+
+    rows = spark.createDataFrame(
+        [(1, 1, 0, 2, [1.0, 2.0, 3.0, 4.0]), (1, 1, 1, 2, [5.0, 7.0])], "id long, side int, pos int, size int, vec array<float>")
+    (r,) = decayed_encoding(rows, 4, 0.5).collect()
+    assert r.vec == [5.5, 8.0, 1.5, 2.0, 5.0, 7.0, 0.0, 0.0]
+    with pytest.raises(Exception, match="wider than 2"):
+        decayed_encoding(rows, 2, 0.5).collect()
+    with pytest.raises(Exception, match="wider than 3"):
+        sum_vectors(rows, ["id"], F.col("vec"), F.lit(1.0), 3).collect()
