@@ -141,33 +141,34 @@ def _across(rows: DataFrame, signs: DataFrame, docs: DataFrame, percent: int, le
     """Links between documents of a bucket that are in different components.
 
     ``rows``: key, band, id, component; ``signs``: id, bits, bands. Documents outside the
-    largest component of their bucket meet all others, each pair in the first
-    band it shares. In small buckets the bits name candidates for ``_confirm``.
-    In large ones the full sets come along, in blocks of the bucket, so that
-    only true links become rows.
+    largest component of their bucket meet all others. In small buckets the bits
+    name candidates for ``_confirm``. In large ones the full sets come along, in
+    blocks of the bucket, so that only true links become rows; a pair is then
+    decided in the first band it shares.
     """
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("key").agg(
         F.max(F.struct("n", "component")).component.alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
     buckets = buckets.where("parts > 1").select("key", "most", "n", F.ceil(F.col("n") / LARGE).cast("int").alias("blocks"))
-    mixed = stage(rows.join(buckets, "key").join(signs, "id"), "mixed")
-    earlier = [(F.col("band") > k) & (F.get("bands", F.lit(k)) == F.get("others", F.lit(k))) for k in range(BANDS)]
-    fresh = (F.col("component") != F.col("other_component")) & (estimate("bits", "other_bits") >= least) & ~reduce(Column.__or__, earlier)
+    mixed = stage(rows.join(buckets, "key").join(signs.select("id", "bits"), "id"), "mixed")
+    earlier = [(F.col("band") > k) & (F.get("bands", F.lit(k)) == F.get("other_bands", F.lit(k))) for k in range(BANDS)]
+    likely = (F.col("component") != F.col("other_component")) & (estimate("bits", "other_bits") >= least)
 
     def met(side: DataFrame, condition: Column, *more: str) -> DataFrame:
         few = side.where(F.col("component") != F.col("most")).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         every = side.select(
             "key", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("bits").alias("other_bits"),
-            F.col("bands").alias("others"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+            F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
             *(F.col(c).alias(f"other_{c}") for c in more))
         return few.join(every, ["key", "block"]).where(condition).select(
             F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
     small, large = mixed.where(F.col("n") <= LARGE), mixed.where(F.col("n") > LARGE)
-    links = _confirm(met(small, fresh), docs, percent)
-    large = large.join(_full_sets(docs, large.select("id")), "id")
-    return links.union(met(large, fresh & _similar("items", "other_items", percent), "items"))
+    links = _confirm(met(small, likely), docs, percent)
+    large = large.join(signs.select("id", "bands"), "id").join(_full_sets(docs, large.select("id")), "id")
+    similar = likely & ~reduce(Column.__or__, earlier) & _similar("items", "other_items", percent)
+    return links.union(met(large, similar, "bands", "items"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, margin: float = MARGIN) -> DataFrame:
