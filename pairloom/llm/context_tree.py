@@ -13,18 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.words import column, lower_words
+from pairloom.llm.words import column, plain_texts
 from pairloom.sources.tables import stage
 
 DEPTH = 5
 HELD_OUT, FOLDS = 2, 7
 #: Bytes of text that one task holds and asks for at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Parts of the tree: one for so many bytes of text, in these limits.
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 16 << 20, 8, 4096
 END = "\n"
@@ -49,13 +50,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 256):
             batch = whole.slice(at, 256)
-            ends, flat = lower_words(column(batch, "text"))
-            words = flat.to_pylist()
-            for doc, out, a, b in zip(column(batch, "doc_id").to_pylist(), column(batch, "held").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            for doc, out, text, count in zip(
+                column(batch, "doc_id").to_pylist(), column(batch, "held").to_pylist(), *plain_texts(column(batch, "text"))
+            ):
                 ids.append(doc)
                 held.append(out)
-                tokens.append(b - a + 1)
-                texts.append(" ".join(words[a:b]) + END)
+                tokens.append(count + 1)
+                texts.append(text + END)
                 size += len(texts[-1])
                 if size >= BLOCK_BYTES:
                     yield block()
@@ -72,16 +73,16 @@ class _Text:
         raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
         self.raw = raw
         self.ends = np.flatnonzero(raw == ord(END)) + 1
-        starts = np.concatenate([[0], self.ends[:-1]])
-        self.starts = starts
-        keys = np.zeros(len(raw), _U)
-        place = np.arange(len(raw)) - np.repeat(starts, self.ends - starts)
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.keys = raw.astype(_U)
         for d in range(1, DEPTH + 1):
             before = np.full(len(raw), ord(END), np.uint8)
-            before[d:] = raw[:-d] if d <= len(raw) else before[d:]
-            before[place < d] = ord(END)
-            keys |= before.astype(_U) << _U(8 * (DEPTH + 1 - d))
-        self.keys = keys | raw.astype(_U)
+            before[d:] = raw[:-d]
+            early = (self.starts[:, None] + np.arange(d)).ravel()
+            before[early[early < np.repeat(self.ends, d)]] = ord(END)
+            wide = before.astype(_U)
+            wide <<= _U(8 * (DEPTH + 1 - d))
+            self.keys |= wide
 
     def per_document(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts) if len(self.starts) else np.empty(0)
@@ -89,7 +90,8 @@ class _Text:
     def words(self) -> pa.DictionaryArray:
         """All tokens in order, the end of a text as a token of its own."""
         spaced = self.raw.tobytes().decode("utf-8", "surrogatepass").replace(END, " " + END + " ")
-        return pa.array([w for w in spaced.split(" ") if w], pa.string()).dictionary_encode()
+        flat = pc.list_flatten(pc.split_pattern(pa.array([spaced], pa.string()), " "))
+        return flat.filter(pc.not_equal(flat, "")).dictionary_encode()
 
 
 def _part(values: np.ndarray, parts: int) -> np.ndarray:
@@ -105,8 +107,16 @@ def _grouped(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(parts[order], np.arange(n + 1))
 
 
-def _pack(values: np.ndarray, kind: type) -> bytes:
-    return np.diff(values, prepend=values.dtype.type(0)).astype(kind).tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=_U(0))
 
 
 def _ask(parts: int):
@@ -128,9 +138,9 @@ def _ask(parts: int):
                 word_order, word_cuts = _grouped(_word_parts(coded.dictionary, parts), parts)
                 names = coded.dictionary.take(pa.array(word_order)).to_pylist()
                 rows = [(
-                    row["block"], p, _pack(every[order[cuts[p]:cuts[p + 1]]], np.uint64), own[order[cuts[p]:cuts[p + 1]]].astype(np.int32).tobytes(),
-                    " ".join(names[word_cuts[p]:word_cuts[p + 1]]).encode("utf-8", "surrogatepass"),
-                    times[word_order[word_cuts[p]:word_cuts[p + 1]]].astype(np.int32).tobytes(),
+                    row["block"], p, _pack(_steps(every[order[cuts[p]:cuts[p + 1]]])), _pack(own[order[cuts[p]:cuts[p + 1]]].astype(np.int32)),
+                    zstandard.compress(" ".join(names[word_cuts[p]:word_cuts[p + 1]]).encode("utf-8", "surrogatepass"), 1),
+                    _pack(times[word_order[word_cuts[p]:word_cuts[p + 1]]].astype(np.int32)),
                 ) for p in range(parts)]
                 types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["block", "part", "keys", "counts", "words", "times"])
@@ -206,18 +216,19 @@ def subtree(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
 
 def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Windows of all blocks with their counts, and the windows of each block."""
-    asked = [np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in rows["keys"]]
+    asked = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in rows["keys"]]
     every, where = np.unique(np.concatenate(asked), return_inverse=True)
-    counts = np.bincount(where, np.concatenate([np.frombuffer(x, np.int32) for x in rows["counts"]]), len(every))
+    counts = np.bincount(where, np.concatenate([_unpack(x, np.int32) for x in rows["counts"]]), len(every))
     return every, counts, asked
 
 
 def _merge_words(rows: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     """Counts of all words of a part, and for each block the places of its words among them."""
-    lists = [x.decode("utf-8", "surrogatepass").split(" ") if x else [] for x in rows["words"]]
+    texts = [zstandard.decompress(x).decode("utf-8", "surrogatepass") for x in rows["words"]]
+    lists = [x.split(" ") if x else [] for x in texts]
     coded = pa.array([w for own in lists for w in own], pa.string()).dictionary_encode()
     where = coded.indices.to_numpy()
-    times = np.bincount(where, np.concatenate([np.frombuffer(x, np.int32) for x in rows["times"]]), len(coded.dictionary))
+    times = np.bincount(where, np.concatenate([_unpack(x, np.int32) for x in rows["times"]]), len(coded.dictionary))
     return times, np.split(where, np.cumsum([len(x) for x in lists])[:-1])
 
 
@@ -240,8 +251,8 @@ def _answers(top: tuple[Level, Level]):
         times, places = _merge_words(rows)
         return pd.DataFrame({
             "block": rows["block"], "part": rows["part"],
-            "logs": [logs[np.searchsorted(keys, own)].astype(np.float32).tobytes() for own in asked],
-            "times": [times[own].astype(np.int64).tobytes() for own in places],
+            "logs": [_pack(logs[np.searchsorted(keys, own)].astype(np.float32)) for own in asked],
+            "times": [_pack(times[own].astype(np.int64)) for own in places],
         })
     return run
 
@@ -256,12 +267,12 @@ def _scores(parts: int, train_tokens: int, train_words: int):
                 every = np.unique(text.keys)
                 order, _ = _grouped(_part(every >> _U(8 * (DEPTH - 1)), parts), parts)
                 logs = np.empty(len(every))
-                logs[order] = np.concatenate([np.frombuffer(x["logs"], np.float32) for x in found])
+                logs[order] = np.concatenate([_unpack(x["logs"], np.float32) for x in found])
                 score = text.per_document(logs[np.searchsorted(every, text.keys)])
                 coded = text.words()
                 word_order, _ = _grouped(_word_parts(coded.dictionary, parts), parts)
                 times = np.empty(len(coded.dictionary), np.int64)
-                times[word_order] = np.concatenate([np.frombuffer(x["times"], np.int64) for x in found])
+                times[word_order] = np.concatenate([_unpack(x["times"], np.int64) for x in found])
                 own = times[coded.indices.to_numpy()]
                 starts = np.concatenate([[0], np.cumsum(row["tokens"])[:-1]])
                 known = np.add.reduceat((own > 0).astype(np.int64), starts)

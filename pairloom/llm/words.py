@@ -43,6 +43,13 @@ def lower_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return ends.astype(np.int64), flat
 
 
+def plain_texts(texts: pa.Array) -> tuple[list[str], list[int]]:
+    """Each text as its words, A-Z lower-cased, with single spaces; and the number of words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts, "")), characters=SPACES))
+    joined = pc.binary_join(lists, " ").to_pylist()
+    return joined, [n if t else 0 for t, n in zip(joined, pc.list_value_length(lists).to_pylist())]
+
+
 def word_hashes(flat: pa.Array) -> np.ndarray:
     """64 bits for each word."""
     coded = flat.dictionary_encode()
