@@ -25,7 +25,7 @@ from pairloom.sources.tables import stage
 DEPTH = 5
 HELD_OUT, FOLDS = 2, 7
 #: Bytes of text that one task holds and asks for at once.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 5 << 20
 #: Parts of the tree: one for so many bytes of text, in these limits.
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 16 << 20, 8, 4096
 END = "\n"
@@ -42,7 +42,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: list[str] = []
 
     def block() -> pa.RecordBatch:
-        packed = zstandard.compress("".join(texts).encode("utf-8", "surrogatepass"), 1)
+        packed = zstandard.compress("".join(texts).encode("utf-8", "surrogatepass"), 3)
         return pa.RecordBatch.from_arrays([
             pa.array([part << 32 | n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
             pa.array([tokens], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["block", "doc_ids", "held", "tokens", "text"])
@@ -108,7 +108,7 @@ def _grouped(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 1)
+    return zstandard.compress(values.tobytes(), 3)
 
 
 def _unpack(packed: bytes, kind: type) -> np.ndarray:
@@ -139,7 +139,7 @@ def _ask(parts: int):
                 names = coded.dictionary.take(pa.array(word_order)).to_pylist()
                 rows = [(
                     row["block"], p, _pack(_steps(every[order[cuts[p]:cuts[p + 1]]])), _pack(own[order[cuts[p]:cuts[p + 1]]].astype(np.int32)),
-                    zstandard.compress(" ".join(names[word_cuts[p]:word_cuts[p + 1]]).encode("utf-8", "surrogatepass"), 1),
+                    zstandard.compress(" ".join(names[word_cuts[p]:word_cuts[p + 1]]).encode("utf-8", "surrogatepass"), 3),
                     _pack(times[word_order[word_cuts[p]:word_cuts[p + 1]]].astype(np.int32)),
                 ) for p in range(parts)]
                 types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
