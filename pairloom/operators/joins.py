@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.sources.tables import stage
+
 BROADCAST_BYTES = 256 << 20
-SALTS = 16
 _ELEMENT_BYTES = {"float": 4, "int": 4, "double": 8, "bigint": 8}
 
 
@@ -35,16 +36,25 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def salted_join(
-    facts: DataFrame, table: DataFrame, on: str, how: str = "left", spread_by: str = "id", salts: int = SALTS
+    facts: DataFrame, table: DataFrame, on: str, how: str = "left", spread_by: str = "id", pieces: int | None = None
 ) -> DataFrame:
     """Shuffle join to a table with unique keys, without hot tasks.
 
-    Each row of the table is copied once per salt, so the rows of a frequent
-    key spread over ``salts`` tasks instead of meeting in one.
+    The facts are written once and counted. A key with more than one in
+    ``pieces`` of them (there are fewer such keys than pieces; unset: the number
+    of shuffle partitions) is spread over as many tasks as it has such shares,
+    and only its row of the table is copied. Facts without a key are spread too.
     """
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return salted.join(copies.hint("merge"), [on, "_salt"], how).drop("_salt")
+    if pieces is None:
+        pieces = max(2, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    facts = stage(facts, "facts")
+    share = max(1, -(-facts.count() // pieces))
+    heavy = facts.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > share)
+    heavy = F.broadcast(stage(heavy.select(on, F.ceil(F.col("count") / share).cast("int").alias("_salts")), "heavy"))
+    salts = F.coalesce("_salts", F.when(F.col(on).isNull(), pieces).otherwise(1))
+    copies = table.join(heavy, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    salted = facts.join(heavy, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+    return salted.drop("_salts").join(copies.drop("_salts").hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
 def lookup_join(

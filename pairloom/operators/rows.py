@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -14,34 +15,63 @@ from pairloom.constants import BATCH_SIZE, SCORE_CHUNK, TRAIN_FRACTION
 _CELLS = 4096
 
 
-def _range_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: contiguous, nearly equal key ranges.
-
-    The bounds are a handful of quantiles fixed as literals, so the bucket is a
-    function of the key alone and stays the same if a task runs again.
-    """
-    points = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(key, points, 10 * buckets)).first()[0] or []
-    inner = sorted({float(b) for b in bounds}) or [0.0]
-    splits = [-math.inf, *inner, math.inf]
+def _with_bucket(df: DataFrame, key: str, bounds: list[float]) -> DataFrame:
+    """Add ``_bucket``, a function of the key alone: how many bounds it has reached."""
+    if not bounds:
+        return df.withColumn("_bucket", F.lit(0))
     keyed = df.withColumn("_key", F.col(key).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket")
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_key", outputCol="_bucket")
     return cut.transform(keyed).withColumn("_bucket", F.col("_bucket").cast("int")).drop("_key")
 
 
+def _cuts(low: float, high: float, parts: int) -> set[float]:
+    """Bounds that cut a range of keys into equal parts."""
+    return {x for i in range(1, parts) if low < (x := low + (high - low) * (i / parts)) < high}
+
+
+def _key_ranges(df: DataFrame, key: str, buckets: int) -> tuple[list[float], list[int]]:
+    """Bounds of contiguous key ranges and the rows of each, at most about one in ``buckets``.
+
+    Rows are counted in equal cells, light neighbours are put together, and a
+    cell with more than its share is cut and counted again. Only counts reach
+    the driver, and nothing that grows with the number of tasks is merged.
+    """
+    n, keyed, low, high = df.agg(F.count("*"), F.count(key), F.min(key), F.max(key)).first()
+    if keyed < n:
+        raise ValueError(f"{n - keyed} rows have no {key}")
+    if n == 0:
+        return [], [0]
+    share, cells = -(-n // buckets), max(_CELLS, 4 * buckets)
+    bounds = sorted(_cuts(float(low), float(high), cells))
+    while True:
+        rows = _with_bucket(df.select(key), key, bounds).groupBy("_bucket").count().collect()
+        found = {r["_bucket"]: r["count"] for r in rows}
+        edges, counts, kept, sizes = [float(low), *bounds, float(high)], [], [], [0]
+        for i in range(len(bounds) + 1):
+            counts.append(found.get(i, 0))
+            if sizes[-1] and sizes[-1] + counts[i] > share:
+                kept.append(edges[i])
+                sizes.append(0)
+            sizes[-1] += counts[i]
+        heavy = [i for i, c in enumerate(counts) if c > share]
+        finer = set().union(*(_cuts(edges[i], edges[i + 1], max(16, cells // len(heavy))) for i in heavy))
+        if not finer:
+            return kept, sizes
+        bounds = sorted(finer | {b for i in heavy for b in bounds[max(i - 1, 0) : i + 1]} | set(kept))
+
+
 def row_index(df: DataFrame, key: str = "id", out: str = "rn", buckets: int | None = None) -> DataFrame:
     """Dense 0-based position in the order of a unique numeric key.
 
     Rows are numbered inside key ranges in parallel; a table with one row per
-    range carries the number of rows before it.
+    range carries the number of rows before it. A row without a key is an error.
     """
+    spark = df.sparkSession
     if buckets is None:
-        buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _range_buckets(df, key, max(buckets, 2))
-    sizes = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # One row per bucket, so this window sorts a number of rows fixed beforehand.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds, sizes = _key_ranges(df, key, max(buckets, 2))
+    ranged = _with_bucket(df, key, bounds)
+    starts = spark.createDataFrame(list(enumerate(accumulate(sizes[:-1], initial=0))), "_bucket int, _start long")
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
     return (
         ranged.withColumn("_inside", inside)

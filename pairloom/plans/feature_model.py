@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.constants import BASIC3
-from pairloom.operators.features import pair_features
+from pairloom.operators.features import decodable_pairs, pair_features
 from pairloom.operators.metrics import accuracy, outcome_counts
 from pairloom.operators.regression import apply_regression, fit_regression
 from pairloom.operators.rows import keep_last, split_by_position
@@ -34,8 +34,10 @@ def run_feature_model(train: DataFrame, test: DataFrame, columns: tuple[str, ...
     """One feature pass over the training pairs, written once; all fits read that table.
 
     ``test`` may repeat ids if it has a ``position``: then the last row counts.
+    Rows with undecodable texts are left out on both sides.
     """
-    features = stage(pair_features(train), "features")
+    features = stage(pair_features(decodable_pairs(train)), "features")
+    test = decodable_pairs(test)
     fit_part, holdout = split_by_position(features)
     model = fit_regression(fit_part.select(*columns, "is_duplicate"), columns)
     if "position" in test.columns:

@@ -10,7 +10,11 @@ from pairloom.operators.features import normalize_pairs
 
 def _read(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     # Columns are found by header name, so all are read as text first and cast after.
-    return spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape='"')
+    if multiline:
+        return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    # One character for each byte, then the bytes again: undecodable texts stay as they are and can be filtered out.
+    df = spark.read.csv(path, header=True, quote='"', escape='"', encoding="ISO-8859-1")
+    return df.select(*(F.encode(F.col(f"`{c}`"), "ISO-8859-1").cast("string").alias(c) for c in df.columns))
 
 
 def _key(df: DataFrame, name: str):
@@ -22,7 +26,8 @@ def read_train_pairs(spark: SparkSession, path: str, multiline: bool = False) ->
     """(id, question1, question2, is_duplicate), missing-value words as NULL.
 
     Files are split at line breaks. ``multiline`` reads quoted line breaks, but
-    then a file is one task, so large inputs should be many files. Ids that are
+    then a file is one task, so large inputs should be many files, and bytes
+    that are no UTF-8 are replaced instead of kept for the filter. Ids that are
     made up here follow the split of the files: write the pairs once before
     reading them twice, as the plans do.
     """

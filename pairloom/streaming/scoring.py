@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from pairloom.operators.features import pair_features
+from pairloom.operators.features import normalize_pairs, pair_features
 
 PAIR_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -17,9 +17,18 @@ PAIR_SCHEMA = T.StructType([
 ])
 
 
-def pair_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Pairs from Parquet files as they arrive in a folder."""
-    return spark.readStream.schema(PAIR_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def pair_stream(spark: SparkSession, path: str, files_per_trigger: int = 100, fmt: str = "parquet") -> DataFrame:
+    """Pairs from Parquet or CSV files as they arrive in a folder.
+
+    CSV files have the header ``id,question1,question2`` (another one is an
+    error); their missing-value words become NULL, as in the batch reader.
+    """
+    arriving = spark.readStream.schema(PAIR_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    if fmt == "parquet":
+        return arriving.parquet(path)
+    if fmt == "csv":
+        return normalize_pairs(arriving.csv(path, header=True, quote='"', escape='"', enforceSchema=False))
+    raise ValueError(f"unknown format {fmt!r}")
 
 
 def score_stream(
