@@ -4,27 +4,10 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.features import decodable_pairs
 from pairloom.operators.joins import salted_join
-from pairloom.operators.rows import _key_ranges, row_index
 from pairloom.sources.csv_pairs import read_train_pairs
 from pairloom.streaming.scoring import pair_stream
 
 
-def test_positions_where_keys_crowd(spark):
-    """Nearly all keys lie in one cell of the first pass."""
-    keys = [*range(3000), *(10**15 + 7 * i for i in range(40)), -(10**12)]
-    df = spark.createDataFrame([(k,) for k in keys], "id long").repartition(5)
-    bounds, sizes = _key_ranges(df, "id", 8)
-    assert sum(sizes) == len(keys) and len(sizes) == len(bounds) + 1 and max(sizes) <= -(-len(keys) // 8)
-    got = {r["id"]: r["rn"] for r in row_index(df, buckets=8).collect()}
-    assert got == {k: i for i, k in enumerate(sorted(keys))}
-
-
-def test_positions_of_empty_and_single_tables(spark):
-    one = spark.createDataFrame([(5,)], "id long")
-    assert [tuple(r) for r in row_index(one).collect()] == [(5, 0)]
-    assert row_index(one.where("id < 0")).collect() == []
-
-
 def test_heavy_and_missing_keys_are_spread(spark):
     rows = [(i, "hot" if i % 3 else f"w{i % 50}") for i in range(900)] + [(i, None) for i in range(900, 1000)]
     facts = spark.createDataFrame(rows, "id long, token string")
