@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.decontamination import contaminated
 from pairloom.llm.mixing import mix_sources
 from pairloom.llm.near_duplicates import near_duplicates
-from pairloom.llm.quality import quality_rules
+from pairloom.llm.quality import cleaned_texts
 from pairloom.llm.sharding import shard_documents
 from pairloom.sources.tables import stage
 
@@ -27,8 +27,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, whole."""
-    return _without(docs, quality_rules(docs).where("not kept"))
+    """Documents that the quality rules keep, without the lines that too many documents of their source share."""
+    return cleaned_texts(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,9 +47,14 @@ def _repeats(rows: DataFrame) -> DataFrame:
 
 
 def _lines(own: str) -> Column:
-    """Of each line: the hash of its normalised form (lower case, no white space at the ends) and its length."""
+    """Of each line: the hash of its normalised form (lower case, no white space at the ends), its length and its place in the text."""
     return F.transform(own, lambda x: F.struct(
-        F.xxhash64(F.lower(F.trim(x))).alias("line"), F.char_length(x).cast("long").alias("chars")))
+        F.xxhash64(F.lower(F.trim(x["text"]))).alias("line"), F.char_length(x["text"]).cast("long").alias("chars"), x["at"].alias("at")))
+
+
+def _text_key(same: Column) -> Column:
+    """Stands for a host and a text."""
+    return F.xxhash64(F.col("host").isNull(), "host", same)
 
 
 def document_measures(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -61,13 +66,15 @@ def document_measures(docs: DataFrame, host: str = "source") -> DataFrame:
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), text.alias("text"))
     rows = rows.select(
         "doc_id", "host", F.xxhash64("text").alias("same"), words(F.col("text")).alias("w"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACES}]")).alias("own"),
+        F.filter(
+            F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("text"), i.alias("at"))), lambda x: x["text"].rlike(f"[^{SPACES}]"),
+        ).alias("own"),
         (F.size(F.split("text", f"[{SYMBOLS}]")) - 1).cast("long").alias("n_symbols"),
     )
     rows = rows.select(
         "doc_id", "host", "same", "w", "n_symbols", _lines("own").alias("lines"), F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.size("own") - F.size(F.array_distinct("own"))).cast("long").alias("n_dup_lines"),
+        (F.size("own") - F.size(F.array_distinct("own.text"))).cast("long").alias("n_dup_lines"),
     )
     return _repeats(rows).drop("w")
 
@@ -87,21 +94,8 @@ def frequent_lines(lines: DataFrame, max_percent: int = MAX_LINE_PERCENT, max_do
     ).select(found.host, "line")
 
 
-def quality_rules(
-    docs: DataFrame, host: str = "source", max_percent: int = MAX_LINE_PERCENT,
-    max_documents: int = MAX_LINE_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT,
-) -> DataFrame:
-    """Counts and a verdict for every row of ``docs`` (doc_id, text and ``host``; other columns are not read).
-
-    ``base_failed``: fewer than 50 words, or over half of them in repeated
-    three-word windows. ``cut_chars``: characters of lines that too many
-    documents of the host share. ``kept`` is false for ``base_failed`` and where
-    less than ``min_left_percent`` of the characters is left.
-
-    Null or empty texts have counts of 0 and fail. A null host is a host of its
-    own. Repeated rows get equal rows and count as one document; so do equal
-    texts. Null ids are kept as they are. An empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, host: str, max_percent: int, max_documents: int, min_left_percent: int) -> DataFrame:
+    """Measures and verdict of every row, with ``text_key`` and the places of the lines to remove (``gone``, null: none)."""
     measured = stage(document_measures(docs, host), "quality")
     lines = measured.select("host", "same", F.explode("lines").alias("x")).select("host", "same", "x.line")
     often = stage(frequent_lines(lines, max_percent, max_documents), "lines")
@@ -111,16 +105,58 @@ def quality_rules(
     cut = (
         texts.select("host", "same", F.explode("lines").alias("x"))
         .withColumn("key", F.xxhash64(F.col("host").isNull(), "host", "x.line"))
-        .join(often, "key", "left_semi").groupBy("host", "same").agg(F.sum("x.chars").alias("cut"))
-        .select(F.xxhash64(F.col("host").isNull(), "host", "same").alias("text_key"), "cut")
+        .join(often, "key", "left_semi").groupBy("host", "same").agg(F.sum("x.chars").alias("cut"), F.collect_list("x.at").alias("gone"))
+        .select(_text_key(F.col("same")).alias("text_key"), "cut", "gone")
     )
     rows = measured.withColumn("chars", F.expr("aggregate(lines, 0L, (a, x) -> a + x.chars)")).drop("lines")
-    rows = rows.withColumn("text_key", F.xxhash64(F.col("host").isNull(), "host", "same"))
-    rows = rows.join(cut, "text_key", "left")
-    n, gone = F.col("n_words"), F.coalesce(F.col("cut"), F.lit(0)).cast("long")
+    rows = rows.withColumn("text_key", _text_key(F.col("same"))).join(cut, "text_key", "left")
+    n, less = F.col("n_words"), F.coalesce(F.col("cut"), F.lit(0)).cast("long")
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (100 * (F.col("chars") - gone) >= min_left_percent * F.col("chars"))).alias("kept"),
-        gone.alias("cut_chars"),
+        failed.alias("base_failed"), (~failed & (100 * (F.col("chars") - less) >= min_left_percent * F.col("chars"))).alias("kept"),
+        less.alias("cut_chars"), "text_key", "gone",
     )
+
+
+def quality_rules(
+    docs: DataFrame, host: str = "source", max_percent: int = MAX_LINE_PERCENT,
+    max_documents: int = MAX_LINE_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT,
+) -> DataFrame:
+    """Counts and a verdict for every row of ``docs`` (doc_id, text and ``host``; other columns are not read).
+
+    ``base_failed``: fewer than 50 words, or over half of them in repeated
+    three-word windows. ``cut_chars``: characters of lines that too many
+    documents of the host share; ``cleaned_texts`` removes these lines. ``kept``
+    is false for ``base_failed`` and where less than ``min_left_percent`` of the
+    characters is left.
+
+    Null or empty texts have counts of 0 and fail. A null host is a host of its
+    own. Repeated rows get equal rows and count as one document; so do equal
+    texts. Null ids are kept as they are. An empty table gives an empty result.
+    """
+    return _judged(docs, host, max_percent, max_documents, min_left_percent).drop("text_key", "gone")
+
+
+def cleaned_texts(
+    docs: DataFrame, host: str = "source", max_percent: int = MAX_LINE_PERCENT,
+    max_documents: int = MAX_LINE_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT,
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, their ``text`` without the lines that too many documents of the host share.
+
+    The other lines stay as they are and in their order; ``n_chars``, if there,
+    follows a changed text. Rows are judged by host and text, so rows that
+    share an id may fare differently. Rows without a doc_id are not filtered,
+    but cleaned. Columns and their order are those of ``docs``.
+    """
+    judged = _judged(docs, host, max_percent, max_documents, min_left_percent).where("not kept or gone is not null")
+    verdict = judged.groupBy("text_key").agg(F.first("kept").alias("_kept"), F.first("gone").alias("_gone"))
+    key = F.xxhash64(F.col(host).isNull(), F.col(host).cast("string"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rows = docs.withColumn("_text_key", key).join(verdict.withColumnRenamed("text_key", "_text_key"), "_text_key", "left")
+    rows = rows.where("_kept is null or _kept or doc_id is null").withColumn("_lines", F.split("text", "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
+    changed = F.col("_gone").isNotNull()
+    rows = rows.withColumn("text", F.when(changed, F.array_join(left, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)

@@ -105,6 +105,29 @@ def test_quality_depleted_documents(spark):
     assert [k for k, v in kept.items() if not v] == [90]
 
 
+def test_quality_writes_texts_without_frequent_lines(spark):
+    def own(k, n=60):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+
+    rows = [(k, f"{own(k)}\n\n All rights  reserved \n\tend {k}\nALL RIGHTS  RESERVED\n", "en", "h", 7) for k in range(21)]
+    rows += [(30, f"{own(30)}\nall rights reserved", "en", "h", 7), (31, f"{own(31)}\nall rights  reserved", "en", "other", 7), (None, " all rights  reserved", "en", "h", 7)]
+    rows += [(40 + k, f"all rights  reserved\n{own(40 + k)}", "en", None, 7) for k in range(22)] + [(90, None, "en", "h", 7), (91, "short", "en", "h", 7)]
+    rows += [rows[0], (30, "short too", "en", "h", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = []
+    for d, text, lang, source, n in rows:
+        lines = (text or "").split("\n")
+        left = [x for x in lines if x.strip(" ").lower() != "all rights  reserved" or source == "other"]
+        cleaned = "\n".join(left) if len(left) < len(lines) else text
+        if d is None or len(split(text)) >= 50:
+            wanted.append((d, cleaned, lang, source, n if cleaned == text else len(cleaned)))
+    for got in (quality.cleaned_texts(df), corpus_pipeline.quality(spark, df, SF)):
+        assert got.columns == df.columns and got.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+        assert Counter(map(tuple, got.collect())) == Counter(wanted)
+    cut = {(r.doc_id, r.n_words): r.cut_chars for r in quality.quality_rules(df).collect()}
+    assert cut[0, 68] == 42 and cut[40, 63] == 20 and cut[30, 63] == cut[31, 63] == 0
+
+
 # --- near duplicates ------------------------------------------------------------
 
 def plain_groups(rows):
