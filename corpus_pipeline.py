@@ -1,7 +1,7 @@
 """From raw documents to shards: quality, near duplicates, benchmark passages, mixing, sharding.
 
 Each stage works on what the one before kept. Rows without a doc_id can't be
-named by a decision and pass through the filters.
+named by a decision and pass through the filters; the mix takes them like others.
 """
 
 from __future__ import annotations
@@ -50,10 +50,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once, or twice."""
-    times = mix_sources(docs).where("doc_id is not null and times > 0").groupBy("doc_id").agg(F.max("times").alias("_times"))
-    named = times.withColumnRenamed("doc_id", "_mixed_id")
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return docs.join(named, docs["doc_id"] == F.col("_mixed_id")).withColumn("_copy", copies).select(*(docs[c] for c in docs.columns))
+    taken = mix_sources(docs, carry=True).where("times > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    return taken.withColumn("_copy", copies).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def length_plan(hist: DataFrame, targets: DataFrame, span: int = SPAN) -> DataFr
     return hist.join(targets, "sk").groupBy("sk").applyInPandas(plan, "sk string, size long, passes int, more long")
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED, size: Column | None = None, span: int = SPAN) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = SEED, size: Column | None = None, span: int = SPAN, carry: bool = False) -> DataFrame:
     """How often the mix takes every row of ``docs`` (doc_id, text, source are read).
 
     Size: words of the text (null: 0), or the column given. Returns doc_id, size,
@@ -106,13 +106,15 @@ def mix_sources(docs: DataFrame, seed: int = SEED, size: Column | None = None, s
     budget the plan says how many documents of each length, and the order of a
     seeded hash of the id says which. Documents without words count as taken
     with every whole pass and not beyond. Repeated rows are rows of their own,
-    chosen by the hash they share; a null id is hashed like any other. Without
+    chosen by the hash they share; a null id is hashed like any other. With
+    ``carry`` each row has the whole row of ``docs`` as ``row`` too. Without
     rows the result is empty.
     """
     sk = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    whole = [F.struct(*docs.columns).alias("row")] if carry else []
     rows = stage(docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"), sk.alias("sk"),
+        *whole, "doc_id", F.col("source").cast("string").alias("source"), sk.alias("sk"),
         (word_count(F.col("text")) if size is None else size).alias("size"), h.alias("h"),
         F.shiftrightunsigned(h, 64 - PARTS.bit_length() + 1).cast("int").alias("part"),
     ), "mix")
@@ -129,4 +131,4 @@ def mix_sources(docs: DataFrame, seed: int = SEED, size: Column | None = None, s
     chosen = rows.join(cells, ["sk", "size", "part"]).withColumn(
         "times", (F.col("passes") + F.when(order <= F.col("more"), 1).otherwise(0)).cast("int"))
     return chosen.select(
-        "doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "times")
+        "doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "times", *(["row"] if carry else []))

@@ -498,3 +498,16 @@ def test_pipeline_odd_rows(spark, odd, empty):
             assert out.columns == now.columns and out.count() >= 0
     kept = corpus_pipeline.near_dedup(spark, odd, SF)
     assert kept.where("doc_id = 6").count() == 1 and kept.where("doc_id is null").count() == 1
+
+
+def test_mix_keeps_rows_without_an_id(spark):
+    rows = [(None if k % 3 == 0 else k // 2, f"t{k} " + "w " * (k % 7), "en", "ab"[k % 2], k) for k in range(40)] + [(None, "x y", None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = Counter()
+    for r in mixing.mix_sources(df).collect():
+        wanted[r.doc_id, r.size] += r.times
+    out = corpus_pipeline.mix(spark, df, SF)
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns and set(got) <= set(rows)
+    assert Counter((r[0], len(split(r[1]))) for r in got) == Counter({k: n for k, n in wanted.items() if n})
+    assert sum(r[0] is None for r in got) > 0
