@@ -25,6 +25,13 @@ VARIANTS = 4
 _SEED = 5
 
 UNREAD = frozenset("script style noscript template head title svg iframe object canvas".split())
+#: What may stand in a head; any other tag, or text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Tags that end an svg that isn't closed, but for those in its parts that hold HTML.
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span"
+    " strong strike sub sup table tt u ul var article section main aside header footer nav figure form".split())
+HTML_IN_SVG = frozenset("foreignobject desc title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GROUPS = {
     "page": "html body", "nav": "nav menu", "header": "header", "footer": "footer address", "aside": "aside", "article": "article main",
@@ -54,15 +61,18 @@ class Page(HTMLParser):
     """Block elements and runs of text, in page order, with their parents.
 
     An element that is not closed ends where its parent does, a paragraph where
-    a block begins, a list item where the next one does. Inline elements give
-    no nodes; ``br`` and images are white space.
+    a block begins, a list item where the next one does, a head at the first tag
+    or text that can't stand in it. So do elements that are not read. Inline
+    elements give no nodes; ``br`` and images are white space.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parent, self.group, self.tag, self.tokens, self.text, self.links = [-1], [0], ["html"], [()], [""], [0]
         self.open: list[tuple[str, int]] = [("html", 0)]
-        self.skipped: list[str] = []
+        self.skipped: list[str] = []  # an element that is not read, and what is open in it
+        self.inline: list[tuple[str, int]] = []
+        self.body = False
         self.link, self.run, self.linked = False, [], 0
         self.feed(html)
         self.close()
@@ -88,11 +98,28 @@ class Page(HTMLParser):
             if self.open[k][0] in scopes:
                 return
 
+    def _end_svg(self) -> None:
+        for k in range(len(self.skipped) - 1, -1, -1):
+            if self.skipped[k] in HTML_IN_SVG or self.skipped[k] in UNREAD and self.skipped[k] != "svg":
+                return
+            if self.skipped[k] == "svg":
+                del self.skipped[k:]
+
+    def _is_open(self, tag: str) -> bool:
+        return tag in ("html", "body") or any(t == tag for t, _ in self.open) or (tag, len(self.open)) in self.inline
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" and not self.body or self.skipped == ["head"] and tag not in IN_HEAD:
+            self.skipped.clear()
+        self.body |= tag == "body"
+        if tag in ENDS_SVG and "svg" in self.skipped:
+            self._end_svg()
         if self.skipped:
-            if tag == self.skipped[-1]:
+            if tag not in VOID:
                 self.skipped.append(tag)
             return
+        if tag not in VOID and tag not in GROUP_OF and tag not in UNREAD:
+            self.inline.append((tag, len(self.open)))
         if tag in UNREAD:
             self._end_run()
             self.skipped.append(tag)
@@ -113,11 +140,15 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skipped:
-            if tag == self.skipped[-1]:
-                self.skipped.pop()
-            elif tag == "head":
-                self.skipped.clear()
-            return
+            if tag in self.skipped:
+                while self.skipped.pop() != tag:
+                    pass
+                return
+            if not self._is_open(tag):
+                return
+            self.skipped.clear()
+        if (tag, len(self.open)) in self.inline[-1:]:
+            self.inline.pop()
         if tag == "a":
             self.link = False
         elif tag in GROUP_OF and tag not in ("html", "body"):
@@ -128,8 +159,8 @@ class Page(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
-        if self.skipped and self.skipped[-1] in ("head",) and data.strip():
-            return
+        if self.skipped == ["head"] and data.strip():
+            self.skipped.clear()
         if not self.skipped:
             self.run.append(data)
             self.linked += len(data) if self.link else 0

@@ -77,6 +77,27 @@ def test_odd_pages(model, html):
     assert "\n\n\n" not in text and text == text.strip()
 
 
+@pytest.mark.parametrize("html", [
+    "<html><head><title>t</title><meta charset=x><body><article><p>the text</p></article></body></html>",
+    "<head><title>t</title><script>x < y</script><style>p {}</style><article><p>the text</article>",
+    "<html><head><meta name=a>the text</html>",
+    "<head><title>t</title><b>the text</b>",
+    "<head><noscript><p>no script</p><body><p>the text",
+    "<head><noscript><img src=x><p>no script</p></noscript><title>t</title><div>the text</div>",
+    "<head><title>t</title><template><p>x</head><body><p>the text",
+    "<body><div><noscript><div>no script</div></div><p>the text</p>",
+    "<body><div><template><p>row</p></div><p>the text</p>",
+    "<body><div><svg><path d=x></div><p>the text</p>",
+    "<body><a><svg><g><path d=x></a>the text",
+    "<body><svg><path d=x><text>label</text><p>the text</p>",
+    "<body><svg><foreignObject><div><p>label</p></div></foreignObject></svg><p>the text</p>",
+    "<body><noscript><svg><p>label</p></svg></noscript><p>the text</p>",
+    "<body><object><p>no player</p></object><p>the text</p>",
+])
+def test_unread_elements_that_are_not_closed(html):
+    assert [t for t in html_extraction.Page(html).text if t] == ["the text"]
+
+
 def test_odd_page_rows(spark):
     rows = [(1, None, None, 5), (1, None, None, 5), (None, "u", "", 5), (2, "u", "<article><p>a b" + " c" * 60_000, 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
