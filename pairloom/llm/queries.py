@@ -12,6 +12,7 @@ from pairloom.llm.decontamination import contaminated
 from pairloom.llm.html_extraction import main_text
 from pairloom.llm.mixing import mix_sources
 from pairloom.llm.near_duplicates import near_duplicates
+from pairloom.llm.pieces import round_trip
 from pairloom.llm.quality import quality_rules
 from pairloom.llm.sharding import shard_documents
 from pairloom.llm.token_counts import token_counts
@@ -66,6 +67,12 @@ def op10_chat_format(spark, sf):
     return read_back(segments(rows.union(more)))
 
 
+def op11_piece_tokens(spark, sf):
+    import public_tokenizers
+
+    return round_trip(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark, sf):
     from corpus_pipeline import run
     return run(spark, sf)
@@ -73,4 +80,4 @@ def pipeline(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_context_tree, op2_near_duplicates, op3_token_counts, op4_mixing, op5_sharding, op6_quality_rules, op7_url_filter,
-    op8_decontamination, op9_main_text, op10_chat_format, pipeline)}
+    op8_decontamination, op9_main_text, op10_chat_format, op11_piece_tokens, pipeline)}
