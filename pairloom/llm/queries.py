@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.chat import read_back, segments
 from pairloom.llm.context_tree import score_texts
 from pairloom.llm.decontamination import contaminated
+from pairloom.llm.divergence import source_divergence
 from pairloom.llm.html_extraction import main_text
 from pairloom.llm.mixing import mix_sources
 from pairloom.llm.near_duplicates import near_duplicates
@@ -17,6 +18,7 @@ from pairloom.llm.quality import quality_rules
 from pairloom.llm.sharding import shard_documents
 from pairloom.llm.token_counts import token_counts
 from pairloom.llm.urls import RULES, judge_urls
+from pairloom.llm.vector_codes import vector_codes
 
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -73,6 +75,14 @@ def op11_piece_tokens(spark, sf):
     return round_trip(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_vector_codes(spark, sf):
+    return vector_codes(_table(spark, sf, "embeddings"))
+
+
+def op13_source_divergence(spark, sf):
+    return source_divergence(_table(spark, sf, "documents"))
+
+
 def pipeline(spark, sf):
     from corpus_pipeline import run
     return run(spark, sf)
@@ -80,4 +90,4 @@ def pipeline(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_context_tree, op2_near_duplicates, op3_token_counts, op4_mixing, op5_sharding, op6_quality_rules, op7_url_filter,
-    op8_decontamination, op9_main_text, op10_chat_format, op11_piece_tokens, pipeline)}
+    op8_decontamination, op9_main_text, op10_chat_format, op11_piece_tokens, op12_vector_codes, op13_source_divergence, pipeline)}
