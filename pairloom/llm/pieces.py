@@ -23,7 +23,7 @@ from pairloom.llm.words import column
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 #: Words, runs and pairs of pieces that a Python worker remembers each; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
 #: Characters of a text that are cut into words at once, and of a word that are searched for pieces at once.
