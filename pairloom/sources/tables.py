@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,16 +38,43 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 _staged: dict[str, list[str]] = {}
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the intermediate tables that this session has staged; results that read them are lost. Returns their number."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for path in paths:
-        at = hadoop(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, paths)
     return len(paths)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete what is staged inside, but for tables staged with the function that is given.
+
+    A result must read no other table of the inside, so stage it with that function.
+    """
+    app = spark.sparkContext.applicationId
+    outer, own = _staged.setdefault(app, []), []
+    _staged[app] = own
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        _staged[app] = outer
+        try:
+            return stage(df, name)
+        finally:
+            _staged[app] = own
+
+    try:
+        yield keep
+    finally:
+        _staged[app] = outer
+        _delete(spark, own)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 

@@ -21,13 +21,14 @@ def pair_stream(spark: SparkSession, path: str, files_per_trigger: int = 100, fm
     """Pairs from Parquet or CSV files as they arrive in a folder.
 
     CSV files have the header ``id,question1,question2`` (another one is an
-    error); their missing-value words become NULL, as in the batch reader.
+    error) and may hold quoted line breaks, so a file is one task; their
+    missing-value words become NULL, as in the batch reader.
     """
     arriving = spark.readStream.schema(PAIR_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
     if fmt == "parquet":
         return arriving.parquet(path)
     if fmt == "csv":
-        return normalize_pairs(arriving.csv(path, header=True, quote='"', escape='"', enforceSchema=False))
+        return normalize_pairs(arriving.csv(path, header=True, quote='"', escape='"', enforceSchema=False, multiLine=True))
     raise ValueError(f"unknown format {fmt!r}")
 
 

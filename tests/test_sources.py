@@ -121,3 +121,26 @@ def test_staged_tables_can_be_dropped(spark, pairs):
     folder = "/" + folder.lstrip("/")
     assert os.path.isdir(folder) and tables.drop_staged(spark) == 1 and not os.path.isdir(folder)
     tables._staged[spark.sparkContext.applicationId] = kept
+
+
+def test_scratch_keeps_only_what_is_asked_for(spark, pairs):
+    import os
+
+    from pairloom.sources.tables import scratch
+
+    def folder(df):
+        return "/" + df.inputFiles()[0].removeprefix("file:").lstrip("/").rpartition("/")[0]
+
+    with scratch(spark) as keep:
+        inner = folder(stage(pairs, "inner"))
+        with scratch(spark) as keep_more:
+            deepest, deep = folder(stage(pairs, "deepest")), keep_more(pairs, "deep")
+        assert not os.path.isdir(deepest) and deep.count() == pairs.count()
+        kept = keep(deep, "kept")
+    assert not os.path.isdir(inner) and not os.path.isdir(folder(deep)) and kept.exceptAll(pairs).count() == 0
+    try:
+        with scratch(spark):
+            gone = folder(stage(pairs, "failed"))
+            raise KeyError
+    except KeyError:
+        assert not os.path.isdir(gone)
