@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.boosting import Trees, fit
 from pairloom.llm.words import column
+from pairloom.sources.tables import stage
 
 #: Pages whose nodes the model is fitted on, in their own markup and in made-up ones.
 SAMPLE_PAGES = 200
@@ -310,6 +311,13 @@ def _variant(texts: list[str], other: list[str], rng: random.Random) -> tuple[st
         lambda: tagged("footer div", "footer site-footer copyright", line(3, 25)),
         lambda: tagged("div", "share social tags author meta", f"<a href='#'>{escape(some(1, 2))}</a> " * rng.randint(1, 4)),
     ]
+    def named(share: float) -> str:
+        """An attribute of any words, also of such as mark other things."""
+        if rng.random() >= share:
+            return ""
+        own = [rng.choice(["story", "lead", "x1", "c-body", "wrap", "col", "t2", "prose", *TOKEN_OF]) for _ in range(rng.randint(1, 2))]
+        return f' {rng.choice(["class", "id"])}="{" ".join(own)}"'
+
     body, kept = [], set()
     for k, text in enumerate(texts):
         form = rng.choice(["p"] * 8 + ["div", "blockquote", "h2", "pre", "li"]) if k else rng.choice(["h1", "h1", "h2", "p"])
@@ -317,12 +325,21 @@ def _variant(texts: list[str], other: list[str], rng: random.Random) -> tuple[st
         kept.add(" ".join(text.split()))
         if form == "p" and rng.random() < 0.2:
             inner = f"<b>{inner}"
-        body.append(f"<ul><li>{inner}</li></ul>" if form == "li" else f"<p>{inner}" + rng.choice(["</p>", "</p>", ""]) if form == "p" else f"<{form}>{inner}</{form}>")
+        body.append(f"<ul><li>{inner}</li></ul>" if form == "li" else f"<p{named(0.12)}>{inner}" + rng.choice(["</p>", "</p>", ""]) if form == "p" else f"<{form}{named(0.12)}>{inner}</{form}>")
     for _ in range(rng.choice([0, 0, 1, 2, 3])):
         body.insert(rng.randint(1, len(body)), rng.choice(extras[2:7] + extras[8:])())
-    main = tagged("article article main div section", "content post entry-content article story main-text", "".join(body))
+    inner = "".join(body)
+    main = rng.choice([
+        lambda: tagged("article article main div section", "content post entry-content article story main-text", inner),
+        lambda: tagged("article main div section", "content post entry-content article story main-text", inner),
+        lambda: f"<article{named(0.3)}>{inner}</article>",
+        lambda: f"<div id=x{rng.randint(1, 99)}>{inner}</div>",
+        lambda: f"<div>{inner}</div>",
+        lambda: f"<table{rng.choice(['', ' class=layout'])}><tr><td>{inner}</td></tr></table>",
+        lambda: inner,
+    ])()
     if rng.random() < 0.2:
-        main = f"<div>{main}</div>"
+        main = f"<div{named(0.1)}>{main}</div>"
     before = [e() for e in rng.sample(extras[:6], rng.randint(0, 4))]
     after = [e() for e in rng.sample(extras[2:], rng.randint(0, 4))]
     return "<html><head><title>t</title></head><body>" + "".join([*before, main, *after]), kept
@@ -357,12 +374,14 @@ def main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     Blocks in page order, joined by two line feeds; white space inside a block
     is one space; character references are decoded. Null or empty html gives an
     empty text. Repeated rows get equal rows. The model is fitted on the
-    ``sample_pages`` pages (at most 100,000 characters each) whose ids have the
-    smallest hashes; extraction reads every page whole. An empty table gives an
+    ``sample_pages`` pages (at most 100,000 characters each) that have the
+    smallest hashes, alike pages once; extraction reads every page whole. An empty table gives an
     empty result.
     """
-    sample = pages.where(F.char_length("html") <= SAMPLE_CHARS).select(F.xxhash64("page_id").alias("h"), "html")
-    htmls = [r.html for r in sample.orderBy("h", "html").limit(sample_pages).collect()]
+    sample = pages.where(F.char_length("html") <= SAMPLE_CHARS).select(F.xxhash64("page_id", "html").alias("h"), "html")
+    bound = stage(sample.select("h").orderBy("h").limit(sample_pages), "sample").agg(F.max("h")).first()[0]
+    few = sample.where(F.col("h") <= bound).distinct() if bound is not None else sample.limit(0)  # the hashes alone were sorted
+    htmls = [r.html for r in few.orderBy("h", "html").limit(sample_pages).collect()]
     shared = pages.sparkSession.sparkContext.broadcast(fit_model(htmls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,12 @@ def model(spark):
     return html_extraction.fit_model([r.html for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(60).collect()])
 
 
+@pytest.fixture(scope="module")
+def full_model(spark):
+    """As fitted by the query on a larger table."""
+    return html_extraction.fit_model([r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(html_extraction.SAMPLE_PAGES).collect()])
+
+
 def test_markup_not_seen_before(spark, model):
     rng, right, total = random.Random(77), 0, 0
     pages = [html_extraction.Page(r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id", ascending=False).limit(40).collect()]
@@ -71,6 +77,50 @@ def test_markup_not_seen_before(spark, model):
     assert right >= 0.9 * total
 
 
+LONG = [" ".join(f"{x}{k}" for k in range(60)) + "." for x in ("alpha", "beta", "gamma")]
+PARAGRAPHS = "".join(f"<p>{t}</p>" for t in LONG)
+NAV = '<nav><ul><li><a href="/">Home</a><li><a href="/n">News</a><li><a href="/s">Sport</a></ul></nav>'
+FOOT = "<footer><p>Copyright 2020 by us.</p></footer>"
+
+
+@pytest.mark.parametrize("inner", [
+    f"<div id=x1>{PARAGRAPHS}</div>", f"<table><tr><td>{PARAGRAPHS}</td></tr></table>", PARAGRAPHS, f"<article>{PARAGRAPHS}</article>",
+    f"<div><div>{PARAGRAPHS}</div></div>", "<article>" + "".join(f'<p class="{c}">{t}</p>' for c, t in zip(("lead", "story review", "story"), LONG)) + "</article>",
+    f'<div class="content">{PARAGRAPHS}</div>', f"<main><section>{PARAGRAPHS}</section></main>"])
+@pytest.mark.parametrize("around", [("", ""), (NAV, FOOT)])
+def test_layouts_that_no_generator_made(full_model, inner, around):
+    page = html_extraction.Page(f"<html><head><title>t</title></head><body>{around[0]}{inner}{around[1]}</body></html>")
+    assert html_extraction.extract([page], full_model)[0] == "\n\n".join(LONG)
+
+
+@pytest.mark.parametrize("extra", [
+    NAV, FOOT, '<div class="cookie-notice"><p>We use cookies to make this site work.</p><button>OK</button></div>',
+    '<div class="comments"><div class="comment"><p>I think so too, and more of it.</p></div></div>', '<aside class="sidebar"><h3>Related</h3><ul><li><a href="/a">One</a></ul></aside>',
+    '<form class="search"><label>Search</label><button>Go</button></form>', '<div class="ad">Buy this now</div>'])
+def test_what_is_around_articles_is_left_out(full_model, extra):
+    for page in (f"<body>{extra}<article>{PARAGRAPHS}</article></body>", f"<body><article>{PARAGRAPHS}</article>{extra}</body>", f'<body><div class="content">{PARAGRAPHS}</div>{extra}</body>'):
+        assert html_extraction.extract([html_extraction.Page(page)], full_model)[0] == "\n\n".join(LONG)
+
+
+def test_decoding_is_the_best_choice():
+    """Every choice that doesn't contradict itself, on small trees."""
+    rng = random.Random(12)
+    for _ in range(200):
+        n = rng.randint(2, 9)
+        parent = [-1] + [rng.randrange(k) for k in range(1, n)]
+        leaf = [k not in parent for k in range(n)]
+        odds = np.array([rng.uniform(-3, 3) for _ in range(n)])
+        gain = lambda c: sum((-np.log1p(np.exp(-o)) if x else -np.log1p(np.exp(o))) for o, x in zip(odds, c))
+
+        def allowed(c):
+            below = [any(c[k] for k in range(n) if parent[k] == p) for p in range(n)]
+            return all(not c[k] or (k == 0 or c[parent[k]]) and (leaf[k] or below[k]) for k in range(n))
+
+        best = max(gain(c) for c in ([bool(x >> k & 1) for k in range(n)] for x in range(1 << n)) if allowed(c))
+        got = html_extraction.decode(parent, odds, leaf)
+        assert allowed(got) and abs(gain(got) - best) < 1e-9
+
+
 @pytest.mark.parametrize("html", ["", "text only", "<p", "<div><script>x</script>", "<!-- c -->", "<ul><li>a<li>b", "</p></div>", "<a><a><p>&amp;&#x41;&bogus;", "<div>" * 3000 + "deep"])
 def test_odd_pages(model, html):
     text = html_extraction.extract([html_extraction.Page(html)], model)[0]
