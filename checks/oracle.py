@@ -123,10 +123,10 @@ def _sequence_steps(prefix: str, source: str, clean) -> dict[str, str]:
     """Named steps from a pair table to word tokens with their places."""
     p = prefix
     lists = ", ".join(f"{_words(clean(f'question{i}'))} AS w{i}" for i in (1, 2))
-    side = "SELECT id, {i} AS side, len(w{i}) AS size, unnest(w{i}) AS token, generate_subscripts(w{i}, 1) - 1 AS pos"
+    side = "SELECT id, {i} AS side, len(w{i}) AS size, {base} AS base, unnest(w{i}) AS token, generate_subscripts(w{i}, 1) - 1 AS pos"
     return {
         f"{p}lists": f"SELECT id, {lists} FROM {source}",
-        f"{p}words": " UNION ALL ".join(side.format(i=i) + f" FROM {p}lists" for i in (1, 2)),
+        f"{p}words": " UNION ALL ".join(side.format(i=i, base=base) + f" FROM {p}lists" for i, base in ((1, "0"), (2, "len(w1)"))),
         f"{p}coded": f"SELECT w.*, coalesce(idx, 0) AS idx FROM {p}words w LEFT JOIN vocab USING (token)",
         f"{p}seq": f"SELECT id, side, list(idx ORDER BY pos) AS seq FROM {p}coded GROUP BY id, side",
         f"{p}seqs": f"SELECT s.id, coalesce(a.seq, []) AS seq1, coalesce(b.seq, []) AS seq2 FROM {source} s "
@@ -139,7 +139,7 @@ STEPS |= _sequence_steps("", "pairs", _clean_train)
 STEPS |= _sequence_steps("t_", "test", _clean_train)
 STEPS |= _sequence_steps("td_", "test", _clean_test)
 STEPS |= {
-    "place": "SELECT token, id, CASE WHEN side = 1 THEN pos ELSE pos + len(w1) END AS p FROM words JOIN lists USING (id)",
+    "place": "SELECT token, id, base + pos AS p FROM words",
     "counts": "SELECT token, count(*) AS n, min(id::HUGEINT * 2147483648 + p) AS first FROM place GROUP BY token",
     "vocab": "SELECT token, n, row_number() OVER (ORDER BY n DESC, first) + 1 AS idx FROM counts "
              "QUALIFY idx < 200000",
@@ -243,8 +243,9 @@ def _looked_up(vocabulary: str) -> str:
     return (
         f"SELECT w.id, side::BIGINT AS side, (pos - greatest(size - 30, 0))::BIGINT AS pos, coalesce(v.idx, 0)::BIGINT AS idx, "
         f"{_r6('coalesce(first, 0)')} AS first, {_r6('coalesce(norm, 0)')} AS norm "
-        f"FROM (SELECT * FROM words WHERE size - pos <= 30) w LEFT JOIN (SELECT token, idx, vec[1] AS first, "
-        f"sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS norm FROM {vocabulary} LEFT JOIN vectors USING (token)) v USING (token)"
+        f"FROM (SELECT id, side, size, pos, token FROM words WHERE size - pos <= 30) w LEFT JOIN (SELECT token, idx, first, norm FROM {vocabulary} "
+        f"LEFT JOIN (SELECT vec_id, embedding[1]::DOUBLE AS first, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings) e "
+        f"ON e.vec_id = idx % (SELECT slots FROM slots)) v USING (token)"
     )
 
 
