@@ -23,6 +23,8 @@ SAMPLE_PAGES = 200
 #: Characters of a page beyond which it is not used for fitting (extraction reads all).
 SAMPLE_CHARS = 100_000
 VARIANTS = 4
+#: How often a page's own markup counts.
+OWN_WEIGHT = 2
 _SEED = 5
 
 UNREAD = frozenset("script style noscript template head title svg iframe object canvas".split())
@@ -352,8 +354,8 @@ def fit_model(htmls: list[str]) -> Trees:
     tables, labels = [], []
     for k, page in enumerate(pages):
         y = _teacher(page)
-        tables.append(features(page))
-        labels.append(y)
+        tables += [features(page)] * OWN_WEIGHT
+        labels += [y] * OWN_WEIGHT
         texts = [t for t, m in zip(page.text, y) if m and t]
         rest = [t for t in pages[k - 1].text if t]
         for _ in range(VARIANTS if texts else 0):
