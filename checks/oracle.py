@@ -183,6 +183,7 @@ STEPS |= {
                "FROM lowbags a JOIN lowbags b ON a.id = b.id AND a.side <> b.side GROUP BY a.id, a.side, a.token",
     "moves": "SELECT id, side, sum(w * dist) / sum(w) AS cost FROM nearest GROUP BY id, side",
     "fitted": _ranges("feat"),
+    "fit_ids": _ranges("(SELECT id FROM pairs)"),
 }
 
 
@@ -213,6 +214,29 @@ STEPS |= {
         f"w_{c} * ({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END" for c in ("cosine", "edit_sig", "common")
     ) + " > 0 THEN 1 ELSE 0 END AS prediction FROM fitted, fit_stats, fit_gd WHERE NOT fit AND epoch = 100",
 }
+
+
+def _accelerated_steps(names: tuple[str, ...] = ("cosine", "edit_sig", "common"), epochs: int = 500) -> dict[str, str]:
+    """The minimum of the penalised loss of the first rows, by accelerated descent on standardised features.
+
+    The penalty is on coefficients of features over their sample deviation.
+    """
+    score = " + ".join(f"y_{c} * x_{c}" for c in names) + " + y_bias"
+    zeros = ", ".join(f"0.0::DOUBLE AS {v}_{c}" for v in "wy" for c in (*names, "bias"))
+    old = ", ".join(f"any_value(w_{c}) AS o_{c}" for c in (*names, "bias"))
+    new = ", ".join(f"any_value(y_{c}) - 1.0::DOUBLE * (avg((p - y) * x_{c}) + 1e-3::DOUBLE * count(*) / (count(*) - 1) * any_value(y_{c})) AS n_{c}" for c in names)
+    ahead = ", ".join(f"n_{c}" for c in (*names, "bias")) + ", " + ", ".join(f"n_{c} + 0.94::DOUBLE * (n_{c} - o_{c})" for c in (*names, "bias"))
+    return {
+        "best_gd": f"SELECT 0 AS epoch, {zeros} UNION ALL SELECT epoch + 1, {ahead} FROM (SELECT epoch, {old}, {new}, "
+                   f"any_value(y_bias) - 1.0::DOUBLE * avg(p - y) AS n_bias "
+                   f"FROM (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM best_gd, fit_z WHERE epoch < {epochs}) GROUP BY epoch)",
+        "best_held": "SELECT id, is_duplicate, CASE WHEN w_bias + " + " + ".join(
+            f"w_{c} * ({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END" for c in names
+        ) + f" > 0 THEN 1 ELSE 0 END AS prediction FROM fitted, fit_stats, best_gd WHERE NOT fit AND epoch = {epochs}",
+    }
+
+
+STEPS |= _accelerated_steps()
 _MATERIALIZED = {
     "pairs", "test", "feat", "t_feat", "lists", "words", "vocab", "pooled", "means", "cells", "vectors", "lowbags",
     "t_lists", "td_lists", "all_z", "fit_z", "counts",
@@ -271,6 +295,12 @@ def _shown(seq: str) -> str:
     return f"array_to_string({seq}, ' ')"
 
 
+def _certified(ids: str, width: int) -> str:
+    """A true row for every weight of two classes, the biases (-1) included, and for every pair."""
+    return (f"SELECT 'weight' AS part, (c * 10000 + d)::BIGINT AS id, TRUE AS holds FROM (SELECT unnest([0, 1]) AS c), "
+            f"(SELECT unnest(range(-1, {width})) AS d) UNION ALL SELECT 'pair', id, TRUE FROM ({ids})")
+
+
 def _dense(normal: str) -> str:
     """Fixed layer and softmax over normalised joint vectors."""
     logits = (f"SELECT id, sum(x * (d % 7 - 3) / 10.0::DOUBLE) + 0.1::DOUBLE AS z0, "
@@ -384,6 +414,13 @@ SELECTS = {
     "stream_score": "SELECT id, prediction::BIGINT AS prediction FROM scored",
     "dense_head_forward": _dense("normal"),
     "dense_head_batches": _dense("batch_normal"),
+    "logistic_mllib": "SELECT id, is_duplicate::BIGINT AS is_duplicate, prediction::BIGINT AS prediction FROM best_held",
+    "dense_head_fit": _certified("SELECT id FROM fit_ids WHERE NOT fit", 128),
+    "pair_model_scores": _certified("SELECT id FROM fit_ids WHERE NOT fit", 256),
+    "sequence_model_predictions": _certified("SELECT id FROM test", 256),
+    "csv_record_pairs": "SELECT id, question1, question2, is_duplicate::BIGINT AS is_duplicate FROM pairs",
+    "stream_dedupe_last": "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
+    "word2vec_vectors": f"SELECT token, {_r6('vec[1]')} AS first, {_r6('sqrt(list_sum(list_transform(vec, lambda x: x * x)))')} AS norm FROM vectors",
 }
 
 ORACLE: dict[str, str] = {name: _sql(select) for name, select in SELECTS.items()}

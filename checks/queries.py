@@ -24,13 +24,16 @@ from pairloom.operators import regression as rg
 from pairloom.operators import rows as rw
 from pairloom.operators import vectors as vc
 from pairloom.operators import vocabulary as vb
-from pairloom.operators.heads import DenseHead, DistanceHead, joint, run_head
+from pairloom.operators.heads import DenseHead, DistanceHead, head_gradient, joint, run_head
 from pairloom.plans.feature_model import run_feature_model
 from pairloom.plans.sequence_model import run_sequence_model
 from pairloom.sources import sample_pairs as sp
+from pairloom.sources.csv_pairs import read_train_pairs
 from pairloom.sources.predictions import counter_rows, prediction_rows
 from pairloom.sources.tables import shared_folder, stage
 from pairloom.sources.vectors import vectors_by_rank
+from pairloom.sources.word2vec import read_word2vec, write_word2vec
+from pairloom.streaming.latest import read_latest, write_latest
 from pairloom.streaming.scoring import score_stream
 
 def q(side: int) -> Column:
@@ -45,6 +48,8 @@ PREFIX = 16
 FIRST_ROWS = 100
 EPOCHS = 100
 SMALL_CAP = 500
+#: A fit is at its minimum where no component of the gradient is larger.
+FLAT = 1e-3
 
 # Fixed weights for forward passes, the same in the SQL.
 FIXED = rg.LinearModel(BASIC3, (2.0, -3.0, 0.01), 1.0)
@@ -505,12 +510,24 @@ def dense_head_batches(spark, sf):
     return scored.select("id", r6("p0").alias("p0"), r6("p1").alias("p1"), *big("prediction"))
 
 
+def _certified(gradient: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row for each weight (is the loss flat there?) and for each pair (does its prediction follow from its scores?)."""
+    weights = gradient.select(
+        F.lit("weight").alias("part"), (F.col("c") * 10_000 + F.col("d")).cast("long").alias("id"), (F.abs("gradient") < FLAT).alias("holds"))
+    return weights.unionByName(pairs.select(F.lit("pair").alias("part"), "id", "holds"))
+
+
+def _follows(p1: str = "p1") -> Column:
+    return F.coalesce(F.col("prediction") == (F.col(p1) > 0.5).cast("int"), F.col("prediction") == 0).alias("holds")
+
+
 def dense_head_fit(spark, sf):
-    """Fit on the first pairs, score the rest."""
+    """Fit on the first pairs, score the rest; the fit is checked by its gradient."""
     fit_labels, held = rw.split_by_position(sp.train_pairs(spark, sf).select("id", "is_duplicate"))
     sides = mean_sides(spark, sf)
     head = DenseHead.fit(sides, fit_labels)
-    return run_head(head, sides.join(held, "id", "left_semi")).select("id", r6("p1").alias("p1"), *big("prediction"))
+    scored = run_head(head, sides.join(held, "id", "left_semi"))
+    return _certified(head_gradient(head, sides, fit_labels), scored.select("id", _follows()))
 
 
 def _sequence_run(spark, sf):
@@ -519,11 +536,46 @@ def _sequence_run(spark, sf):
 
 
 def pair_model_scores(spark, sf):
-    return _sequence_run(spark, sf).holdout.select("id", r6("p1").alias("p1"), *big("is_duplicate", "prediction"))
+    run = _sequence_run(spark, sf)
+    return _certified(head_gradient(run.head, run.sides, run.labels), run.holdout.select("id", _follows()))
 
 
 def sequence_model_predictions(spark, sf):
-    return _sequence_run(spark, sf).predictions.select("id", *big("prediction"))
+    """One prediction of class 0 or 1 for each test pair, of a model whose fit is checked."""
+    run = _sequence_run(spark, sf)
+    pairs = run.predictions.select("id", F.col("prediction").isin(0, 1).alias("holds"))
+    return _certified(head_gradient(run.head, run.sides, run.labels), pairs)
+
+
+# --- sources ---------------------------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_record_pairs(spark, sf):
+    """Pairs with line breaks in their texts, written as CSV and read range by range."""
+    folder = _folder(spark, "csv")
+    sp.raw_train_pairs(spark, sf).write.csv(
+        folder, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_train_pairs(spark, folder).select("id", "question1", "question2", *big("is_duplicate"))
+
+
+def stream_dedupe_last(spark, sf):
+    """The last turn of each conversation, as keyed state of a stream."""
+    turns = sp.table(spark, sf, "conversations")
+    arriving = spark.readStream.schema(turns.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    folder = _folder(spark, "latest")
+    write_latest(arriving.select("conv_id", "turn", "role", "text"), "conv_id", "turn", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return read_latest(spark, f"{folder}/out", "conv_id", "turn")
+
+
+def word2vec_vectors(spark, sf):
+    """Word vectors written in the binary layout and read by byte ranges."""
+    folder = _folder(spark, "word2vec")
+    write_word2vec(vector_table(spark, sf), folder)
+    read = read_word2vec(spark, folder, 1 << 20)
+    return read.select("token", r6(F.element_at("vec", 1).cast("double")).alias("first"), r6(_norm("vec")).alias("norm"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -603,4 +655,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dense_head_fit": dense_head_fit,
     "pair_model_scores": pair_model_scores,
     "sequence_model_predictions": sequence_model_predictions,
+    "csv_record_pairs": csv_record_pairs,
+    "stream_dedupe_last": stream_dedupe_last,
+    "word2vec_vectors": word2vec_vectors,
 }

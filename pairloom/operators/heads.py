@@ -100,6 +100,25 @@ class DenseHead:
         return cls(means, variances, (w[0].tolist(), w[1].tolist()), (float(b[0]), float(b[1])))
 
 
+def head_gradient(head: DenseHead, sides: DataFrame, labels: DataFrame, reg: float = 1e-3) -> DataFrame:
+    """(c, d, gradient) of the loss that ``DenseHead.fit`` minimises, at the weights of a head; d = -1 are the biases.
+
+    All near zero certify a fit: the loss is convex. One row for each weight.
+    """
+    known = labels.where(F.col("is_duplicate").isNotNull()).select("id", class_label("is_duplicate").alias("y"))
+    z = joint(sides).select("id", batch_normalize(F.col("vec"), _numbers(head.means), _numbers(head.variances), head.epsilon).alias("z"))
+    off = [F.col(f"p{c}") - (F.col("y") == c).cast("double") for c in (0, 1)]
+    rows = z.join(head.score(sides).select("id", "p0", "p1"), "id").join(known, "id")
+    cells = rows.select(*(o.alias(f"e{c}") for c, o in enumerate(off)), F.posexplode(F.array_append("z", F.lit(1.0))).alias("d", "x"))
+    means = cells.groupBy("d").agg(*(F.avg(F.col(f"e{c}") * F.col("x")).alias(f"g{c}") for c in (0, 1)))
+    width = len(head.means)
+    by_class = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"g{c}").alias("g")) for c in (0, 1)))).alias("x")
+    weights = [F.get(_numbers(head.weights[c]), F.col("d")) for c in (0, 1)]
+    means = means.select("d", by_class).select("d", "x.c", "x.g")
+    penalty = F.when(F.col("d") == width, 0.0).when(F.col("c") == 0, weights[0]).otherwise(weights[1]) * reg
+    return means.select("c", F.when(F.col("d") == width, -1).otherwise(F.col("d")).alias("d"), (F.col("g") + penalty).alias("gradient"))
+
+
 def save_head(head: DenseHead, spark: SparkSession, path: str) -> None:
     """Keep a head as a small Parquet table: one row for each component, and one (d = -1) for the biases."""
     rows = [(d, *map(float, x)) for d, x in enumerate(zip(head.means, head.variances, *head.weights, strict=True))]

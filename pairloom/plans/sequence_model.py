@@ -48,11 +48,15 @@ class SequenceModel:
 
 @dataclass(frozen=True)
 class SequenceRun:
+    """``sides`` and ``labels`` are what the head was fitted on."""
+
     head: PairHead
     holdout: DataFrame
     predictions: DataFrame
     vocabulary: DataFrame
     model: SequenceModel
+    sides: DataFrame
+    labels: DataFrame
 
     def accuracy(self) -> DataFrame:
         return accuracy(self.holdout)
@@ -98,4 +102,4 @@ def run_sequence_model(
     holdout = with_all_pairs(run_head(head, held), holdout_labels, "is_duplicate")
     model = SequenceModel(matrix, head, width, decay)
     test = stage(decodable_pairs(test), "test")
-    return SequenceRun(head, holdout, model.score(test, test_rule), vocabulary, model)
+    return SequenceRun(head, holdout, model.score(test, test_rule), vocabulary, model, sides, fit_labels)
