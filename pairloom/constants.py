@@ -19,7 +19,6 @@ UNKNOWN_TOKEN, UNKNOWN_INDEX = "<UNK>", 0
 PADDING_TOKEN, PADDING_INDEX = "<PAD>", 1
 VOCABULARY_CAP = 200_000
 SEQUENCE_LENGTH = 30
-VECTOR_WIDTH = 300
 
 # Two-class regression on pair features.
 TRAIN_FRACTION = 0.8

@@ -15,7 +15,7 @@ from pairloom.operators.rows import keep_last, split_by_position
 from pairloom.operators.vectors import decayed_encoding, pair_sides
 from pairloom.operators.vocabulary import build_vocabulary, encode_long, pair_tokens, vector_matrix
 from pairloom.sources.predictions import prediction_rows
-from pairloom.sources.tables import read_table, stage, write_table
+from pairloom.sources.tables import last_version, new_version, read_table, stage, write_table
 
 
 @dataclass(frozen=True)
@@ -34,16 +34,18 @@ class SequenceModel:
         return prediction_rows(with_all_pairs(run_head(self.head, sides), pairs))
 
     def save(self, path: str) -> None:
-        """Keep a model with a dense head under a folder."""
+        """Keep a model with a dense head under a folder; until all of it is written, ``load`` gives the one kept before."""
         spark = self.matrix.sparkSession
-        write_table(self.matrix, f"{path}/matrix")
-        save_head(self.head, spark, f"{path}/head")
-        write_table(spark.createDataFrame([(self.width, self.decay)], "width int, decay double"), f"{path}/shape")
+        with new_version(spark, path) as folder:
+            write_table(self.matrix, f"{folder}/matrix")
+            save_head(self.head, spark, f"{folder}/head")
+            write_table(spark.createDataFrame([(self.width, self.decay)], "width int, decay double"), f"{folder}/shape")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SequenceModel:
-        shape = read_table(spark, f"{path}/shape").first()
-        return cls(read_table(spark, f"{path}/matrix"), load_head(spark, f"{path}/head"), shape["width"], shape["decay"])
+        folder = last_version(spark, path)
+        shape = read_table(spark, f"{folder}/shape").first()
+        return cls(read_table(spark, f"{folder}/matrix"), load_head(spark, f"{folder}/head"), shape["width"], shape["decay"])
 
 
 @dataclass(frozen=True)

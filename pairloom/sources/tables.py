@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +36,25 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def new_version(spark: SparkSession, path: str) -> Iterator[str]:
+    """A new folder under ``path`` for an artefact of several tables; it counts once the block has ended without an error.
+
+    The list of versions is only added to, and last, so a run that ends halfway
+    leaves the version before it in use. Earlier versions stay.
+    """
+    name = f"version-{uuid.uuid4().hex}"
+    yield f"{path}/{name}"
+    row = spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("at"))
+    write_table(row.coalesce(1), f"{path}/versions", "append")
+
+
+def last_version(spark: SparkSession, path: str) -> str:
+    """The folder of the version that was finished last."""
+    last = read_table(spark, f"{path}/versions").agg(F.max_by("name", F.struct("at", "name")).alias("name")).first()
+    return f"{path}/{last['name']}"
+
+
 _staged: dict[str, list[str]] = {}
 
 

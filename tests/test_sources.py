@@ -144,3 +144,29 @@ def test_scratch_keeps_only_what_is_asked_for(spark, pairs):
             raise KeyError
     except KeyError:
         assert not os.path.isdir(gone)
+
+
+def test_a_save_that_ends_halfway_leaves_the_model_before_it(spark, tmp_path, monkeypatch):
+    from pairloom.operators.heads import DenseHead
+    from pairloom.plans import sequence_model as sm
+
+    def model(weight):
+        matrix = spark.createDataFrame([("a", 2, [weight])], "token string, idx int, vec array<float>")
+        return sm.SequenceModel(matrix, DenseHead([0.0], [1.0], ([weight], [0.0]), (0.0, 0.0)), 1, 0.9)
+
+    path = str(tmp_path / "model")
+    for weight in (1.0, 2.0):
+        model(weight).save(path)
+        assert sm.SequenceModel.load(spark, path).head.weights[0] == [weight]
+
+    def fails(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sm, "save_head", fails)
+        try:
+            model(3.0).save(path)
+        except OSError:
+            pass
+    again = sm.SequenceModel.load(spark, path)
+    assert again.head.weights[0] == [2.0] and again.matrix.first().vec == [2.0]
