@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.sources.tables import stage
+from pairloom.sources.tables import scratch, stage
 
 
 def _to_least(links: DataFrame, both: bool) -> DataFrame:
@@ -29,12 +29,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     until they form stars; the number of rounds grows with the logarithm of the
     size. Each round is a written table.
     """
-    now, last = stage(links.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "graph"), None
-    while True:
-        now = stage(_to_least(_to_least(now, True), False), "graph")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == last:
-            break
-        last = mark
-    members = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    return members.union(now.select("a", "a")).distinct()
+    with scratch(links.sparkSession) as keep:
+        now, last = stage(links.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "graph"), None
+        while True:
+            now = stage(_to_least(_to_least(now, True), False), "graph")
+            mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if mark == last:
+                break
+            last = mark
+        members = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
+        return keep(members.union(now.select("a", "a")).distinct(), "components")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.graphs import connected_components
 from pairloom.llm.words import column, mix, shingle_sets
-from pairloom.sources.tables import stage
+from pairloom.operators.joins import fits_broadcast
+from pairloom.sources.tables import scratch, stage
 
 WIDTH = 5
 PERCENT = 75
@@ -24,8 +26,10 @@ BITS = 4
 MARGIN = 0.18
 #: Pairs of one document that one task checks.
 BLOCK = 1024
-#: Rows of a block of a bucket; beyond one block pairs are decided where they meet.
-LARGE = 128
+#: Documents of a bucket that one task holds on either side, when those of different components meet.
+FEW, MANY = 4096, 1024
+#: Bytes of ids that are broadcast to find their texts.
+_LOOKUP_BYTES = 16 << 20
 _SLICE = 512
 _SEED = 20_231
 
@@ -110,10 +114,12 @@ def _similar(x: str, y: str, percent: int) -> Column:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, items`` for the documents named in ``ids``."""
+    """``id, items`` for the documents named in ``ids``; an id of several texts has several rows."""
+    ids = stage(ids.distinct(), "ids")
+    ids = F.broadcast(ids) if fits_broadcast(ids, _LOOKUP_BYTES) else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    sets = texts.join(ids.distinct(), "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
-    return stage(sets, "sets").dropDuplicates(["id"])
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
+    return stage(sets.withColumn("same", F.xxhash64("items")), "sets").dropDuplicates(["id", "same"]).drop("same")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -121,54 +127,78 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     The set of a document with many pairs is copied once for each 1,024 of them.
     """
-    pairs = stage(pairs, "pairs")
-    sets = _full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
-    left = sets.withColumnRenamed("id", "a").join(slices, "a").select(
-        "a", F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    right = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
-    right = right.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return left.join(right.drop("slices"), ["a", "slice"]).where(_similar("x", "y", percent)).select("a", "b")
+    with scratch(docs.sparkSession) as keep:
+        pairs = stage(pairs, "pairs")
+        if pairs.isEmpty():
+            return keep(pairs, "links")
+        sets = _full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+        slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
+        left = sets.withColumnRenamed("id", "a").join(slices, "a").select(
+            "a", F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        right = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
+        right = right.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        found = left.join(right.drop("slices"), ["a", "slice"]).where(_similar("x", "y", percent)).select("a", "b")
+        return keep(found.distinct(), "links")
 
 
 def _shared_buckets(keyed: DataFrame) -> DataFrame:
     """The rows of buckets with two documents or more, with the bucket's smallest id ``a``."""
-    centres = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    centres = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").drop("z")
     return stage(keyed.join(centres, "key"), "buckets")
 
 
-def _across(rows: DataFrame, signs: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
-    """Links between documents of a bucket that are in different components.
+def _pairs(left: Column, right: Column) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
-    ``rows``: key, band, id, component; ``signs``: id, bits, bands. Documents outside the
-    largest component of their bucket meet all others. In small buckets the bits
-    name candidates for ``_confirm``. In large ones the full sets come along, in
-    blocks of the bucket, so that only true links become rows; a pair is then
-    decided in the first band it shares.
-    """
+
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, id, component, most`` of the buckets that hold several components; ``most`` is the largest."""
+    rows = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = parts.groupBy("key").agg(
-        F.max(F.struct("n", "component")).component.alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    buckets = buckets.where("parts > 1").select("key", "most", "n", F.ceil(F.col("n") / LARGE).cast("int").alias("blocks"))
-    mixed = stage(rows.join(buckets, "key").join(signs.select("id", "bits"), "id"), "mixed")
-    earlier = [(F.col("band") > k) & (F.get("bands", F.lit(k)) == F.get("other_bands", F.lit(k))) for k in range(BANDS)]
-    likely = (F.col("component") != F.col("other_component")) & (estimate("bits", "other_bits") >= least)
+    most = parts.groupBy("key").agg(F.max(F.struct("n", "component")).component.alias("most"), F.count("*").alias("parts"))
+    return stage(rows.join(most.where("parts > 1").drop("parts"), "key"), "mixed")
+
 
-    def met(side: DataFrame, condition: Column, *more: str) -> DataFrame:
-        few = side.where(F.col("component") != F.col("most")).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        every = side.select(
-            "key", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("bits").alias("other_bits"),
-            F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
-            *(F.col(c).alias(f"other_{c}") for c in more))
-        return few.join(every, ["key", "block"]).where(condition).select(
-            F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def _likely(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose low bits don't rule them out."""
+    for side in "ab":
+        pairs = pairs.join(signs.select(F.col("id").alias(side), F.col("bits").alias(f"x{side}")), side)
+    return pairs.where(estimate("xa", "xb") >= least).select("a", "b").distinct()
 
-    small, large = mixed.where(F.col("n") <= LARGE), mixed.where(F.col("n") > LARGE)
-    links = _confirm(met(small, likely), docs, percent)
-    large = large.join(signs.select("id", "bands"), "id").join(_full_sets(docs, large.select("id")), "id")
-    similar = likely & ~reduce(Column.__or__, earlier) & _similar("items", "other_items", percent)
-    return links.union(met(large, similar, "bands", "items"))
+
+def _all_across(mixed: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links between documents that share a bucket and are in different components.
+
+    Documents outside the largest component of their bucket meet all others
+    whose set's size allows the similarity: sizes fall into levels, and only
+    neighbouring levels meet. Both sides are cut into blocks, so that a bucket
+    of any size is spread over tasks. The low bits rule out most pairs and the
+    full sets decide where two documents meet, so only true links become rows.
+    """
+    step = max(math.log(100 / percent), 0.01) * (1 + 1e-9)  # a little wider than the ratio of two sizes can be
+    level = F.floor(F.log(F.col("n_shingles")) / step).cast("int")
+    sized = signs.join(sets, "id").where(F.size("items") == F.col("n_shingles"))
+    rows = stage(mixed.join(sized.select("id", "bits", "items", level.alias("level")), "id"), "levels")
+    outside = F.col("component") != F.col("most")
+    cells = rows.groupBy("key", "level").agg(F.count("*").alias("n"), F.count(F.when(outside, 1)).alias("few"))
+    cells = stage(cells.select(
+        "key", "level", F.ceil(F.col("n") / MANY).cast("int").alias("blocks"), F.ceil(F.col("few") / FEW).cast("int").alias("parts")), "cells")
+    few = rows.where(outside).join(cells.select("key", "level", "parts"), ["key", "level"])
+    few = few.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int")).withColumn("from", F.col("level"))
+    few = few.withColumn("level", F.explode(F.array(*(F.col("from") + k for k in (-1, 0, 1)))))
+    few = few.join(cells.select("key", "level", "blocks"), ["key", "level"]).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = rows.join(cells.select("key", "level", "blocks"), ["key", "level"]).withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
+        "from", F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))))
+    every = every.join(cells.where("parts > 0").select("key", F.col("level").alias("from"), "parts"), ["key", "from"]).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = every.select(
+        "key", "level", "from", "block", "part", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("bits").alias("other_bits"), F.col("items").alias("other_items"))
+    few = few.select("key", "level", "from", "block", "part", "id", "component", "bits", "items")
+    met = few.join(every, ["key", "level", "from", "block", "part"])
+    likely = (F.col("component") != F.col("other_component")) & (estimate("bits", "other_bits") >= least)
+    return met.where(likely & _similar("items", "other_items", percent)).select(*_pairs(F.col("id"), F.col("other"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, margin: float = MARGIN) -> DataFrame:
@@ -177,40 +207,46 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, margin: float = MAR
     Reads doc_id and text. Returns doc_id, n_shingles, component_id (the
     smallest id that links reach, the own one included) and kept (the own id is
     that one). A text with fewer than five words is one shingle; without words
-    the set is empty and linked with nothing. Rows with equal ids count as one
-    document; null ids have a null component and are kept. Other columns are
-    not read. An empty table gives an empty result.
+    the set is empty and linked with nothing. Rows with equal ids are one
+    document with the links of all their texts; null ids have a null component
+    and are kept. Other columns are not read. An empty table gives an empty
+    result.
 
     Equal sets are joined first, by digest. Documents that share a band meet
     their bucket's smallest id; then those still in different components meet
-    the others. A pair at the limit shares one of 32 bands of four minima with
-    probability 0.999995, so links are complete but for that; every link is
-    confirmed on the full sets.
+    all others, and components are formed anew. A pair at the limit shares one
+    of 32 bands of four minima with probability 0.999995, so links are complete
+    but for that; every link is confirmed on the full sets.
     """
-    least = percent / 100 - margin
-    rows = stage(signatures(docs), "signatures")
-    sized = rows.where("digest is not null and doc_id is not null")
-    classes = stage(sized.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
-    first = sized.withColumnRenamed("doc_id", "id").join(classes.select("digest", "id"), ["digest", "id"], "left_semi")
-    first = stage(first.select("id", "bands", "bits").dropDuplicates(["id"]), "representatives")
-    buckets = _shared_buckets(first.select("id", F.posexplode("bands").alias("band", "key")))
-    bits = first.select("id", "bits")
-
-    near = buckets.where("id != a").select("a", F.col("id").alias("b")).distinct()
-    near = near.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("xa")), "a")
-    near = near.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("xb")), "b")
-    links = stage(_confirm(near.where(estimate("xa", "xb") >= least).select("a", "b"), docs, percent), "links")
-    found = connected_components(links)
-    inside = buckets.join(found, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    found = connected_components(links.union(stage(_across(inside, first, docs, percent, least), "links")))
-
-    groups = classes.join(found, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
-    large = F.broadcast(stage(groups.where(F.col("n") * 200 > rows.count()), "large"))  # at most 199 rows
-    small = groups.join(large.select("digest"), "digest", "left_anti").select("digest", F.col("component").alias("small"))
-    out = rows.join(large.select("digest", F.col("component").alias("large")), "digest", "left")
-    out = out.withColumn("own", F.when(F.col("large").isNull(), F.col("digest"))).join(
-        small.withColumnRenamed("digest", "own"), "own", "left")
-    component = F.coalesce("large", "small", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with scratch(docs.sparkSession) as keep:
+        least = percent / 100 - margin
+        rows = stage(signatures(docs), "signatures")
+        sized = rows.where("digest is not null and doc_id is not null")
+        classes = stage(sized.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
+        first = sized.withColumnRenamed("doc_id", "id").join(classes.select("digest", "id"), ["digest", "id"], "left_semi")
+        first = stage(first.select("id", "digest", "n_shingles", "bands", "bits").dropDuplicates(["id", "digest"]), "representatives")
+        buckets = _shared_buckets(first.select("id", F.explode("bands").alias("key")))
+        signs = first.select("id", "n_shingles", "bits")
+
+        several = sized.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("doc_id")
+        same = sized.join(several, "doc_id", "left_semi").join(classes.select("digest", "id"), "digest")
+        links = stage(same.where("doc_id != id").select(*_pairs(F.col("doc_id"), F.col("id"))).distinct(), "links")
+        near = buckets.where("id != a").select("a", F.col("id").alias("b")).distinct()
+        found = connected_components(links.union(_confirm(_likely(near, signs, least), docs, percent)))
+        mixed = _mixed(buckets, found)
+        if not mixed.isEmpty():
+            links = stage(_all_across(mixed, signs, _full_sets(docs, mixed.select("id")), percent, least), "links")
+            if not links.isEmpty():
+                stars = found.select(F.col("component").alias("a"), F.col("id").alias("b"))
+                found = connected_components(stars.union(links))
+
+        groups = classes.join(found, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
+        large = F.broadcast(stage(groups.where(F.col("n") * 200 > rows.count()), "large"))  # at most 199 rows
+        small = groups.join(large.select("digest"), "digest", "left_anti").select("digest", F.col("component").alias("small"))
+        out = rows.join(large.select("digest", F.col("component").alias("large")), "digest", "left")
+        out = out.withColumn("own", F.when(F.col("large").isNull(), F.col("digest"))).join(
+            small.withColumnRenamed("digest", "own"), "own", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("large", "small", "doc_id"))
+        return keep(out.select(
+            "doc_id", "n_shingles", component.alias("component_id"),
+            F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near")
