@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.words import SPACES, words
 from pairloom.operators.joins import fits_broadcast
-from pairloom.sources.tables import stage
+from pairloom.sources.tables import scratch, stage
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is cut where more than this share of the host's documents has it, and more than so many.
-MAX_LINE_PERCENT = 5
-MAX_LINE_DOCUMENTS = 20
+#: A line of so many words is cut where more than this number of the host's different texts has it, however large the host is.
+MIN_LINE_WORDS = 3
+MAX_LINE_DOCUMENTS = 10
 #: A document is depleted where less than this share of its characters is left.
 MIN_LEFT_PERCENT = 20
 _LOOKUP_BYTES = 16 << 20
@@ -47,9 +47,10 @@ def _repeats(rows: DataFrame) -> DataFrame:
 
 
 def _lines(own: str) -> Column:
-    """Of each line: the hash of its normalised form (lower case, no white space at the ends), its length and its place in the text."""
+    """Of each line: the hash of its normalised form (lower case, no white space at the ends; null with too few words), its length and its place in the text."""
+    several = f"[^{SPACES}]" + f"[{SPACES}]+[^{SPACES}]+" * (MIN_LINE_WORDS - 1)
     return F.transform(own, lambda x: F.struct(
-        F.xxhash64(F.lower(F.trim(x["text"]))).alias("line"), F.char_length(x["text"]).cast("long").alias("chars"), x["at"].alias("at")))
+        F.when(x["text"].rlike(several), F.xxhash64(F.lower(F.trim(x["text"])))).alias("line"), F.char_length(x["text"]).cast("long").alias("chars"), x["at"].alias("at")))
 
 
 def _text_key(same: Column) -> Column:
@@ -79,26 +80,22 @@ def document_measures(docs: DataFrame, host: str = "source") -> DataFrame:
     return _repeats(rows).drop("w")
 
 
-def frequent_lines(lines: DataFrame, max_percent: int = MAX_LINE_PERCENT, max_documents: int = MAX_LINE_DOCUMENTS) -> DataFrame:
-    """Lines in more distinct documents of a host than the limits allow: ``host, line``.
+def frequent_lines(lines: DataFrame, max_documents: int = MAX_LINE_DOCUMENTS) -> DataFrame:
+    """Lines in more distinct documents of a host than the limit allows: ``host, line``.
 
     ``lines`` has ``host, same, line``; documents with equal texts count once.
     The first grouping spreads a frequent line by document, the second sums
     partial counts.
     """
-    total = lines.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    found = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
-    found = found.where(F.col("n") > max_documents)
-    return found.join(total, found.host.eqNullSafe(total.host)).where(
-        100 * F.col("n") > max_percent * F.col("documents")
-    ).select(found.host, "line")
+    found = lines.where("line is not null").distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    return found.where(F.col("n") > max_documents).select("host", "line")
 
 
-def _judged(docs: DataFrame, host: str, max_percent: int, max_documents: int, min_left_percent: int) -> DataFrame:
+def _judged(docs: DataFrame, host: str, max_documents: int, min_left_percent: int) -> DataFrame:
     """Measures and verdict of every row, with ``text_key`` and the places of the lines to remove (``gone``, null: none)."""
     measured = stage(document_measures(docs, host), "quality")
     lines = measured.select("host", "same", F.explode("lines").alias("x")).select("host", "same", "x.line")
-    often = stage(frequent_lines(lines, max_percent, max_documents), "lines")
+    often = stage(frequent_lines(lines, max_documents), "lines")
     often = often.select(F.xxhash64(F.col("host").isNull(), "host", "line").alias("key")).distinct()
     often = F.broadcast(often) if fits_broadcast(often, _LOOKUP_BYTES) else often
     texts = measured.groupBy("host", "same").agg(F.first("lines").alias("lines"))
@@ -120,14 +117,14 @@ def _judged(docs: DataFrame, host: str, max_percent: int, max_documents: int, mi
 
 
 def quality_rules(
-    docs: DataFrame, host: str = "source", max_percent: int = MAX_LINE_PERCENT,
-    max_documents: int = MAX_LINE_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT,
+    docs: DataFrame, host: str = "source", max_documents: int = MAX_LINE_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """Counts and a verdict for every row of ``docs`` (doc_id, text and ``host``; other columns are not read).
 
     ``base_failed``: fewer than 50 words, or over half of them in repeated
-    three-word windows. ``cut_chars``: characters of lines that too many
-    documents of the host share; ``cleaned_texts`` removes these lines. ``kept``
+    three-word windows. ``cut_chars``: characters of lines of three words or
+    more that more than ``max_documents`` different texts of the host share,
+    whatever its size; ``cleaned_texts`` removes these lines. ``kept``
     is false for ``base_failed`` and where less than ``min_left_percent`` of the
     characters is left.
 
@@ -135,28 +132,29 @@ def quality_rules(
     own. Repeated rows get equal rows and count as one document; so do equal
     texts. Null ids are kept as they are. An empty table gives an empty result.
     """
-    return _judged(docs, host, max_percent, max_documents, min_left_percent).drop("text_key", "gone")
+    return _judged(docs, host, max_documents, min_left_percent).drop("text_key", "gone")
 
 
 def cleaned_texts(
-    docs: DataFrame, host: str = "source", max_percent: int = MAX_LINE_PERCENT,
-    max_documents: int = MAX_LINE_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT,
+    docs: DataFrame, host: str = "source", max_documents: int = MAX_LINE_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, their ``text`` without the lines that too many documents of the host share.
 
     The other lines stay as they are and in their order; ``n_chars``, if there,
     follows a changed text. Rows are judged by host and text, so rows that
     share an id may fare differently. Rows without a doc_id are not filtered,
-    but cleaned. Columns and their order are those of ``docs``.
+    but cleaned. Columns and their order are those of ``docs``, whatever their names.
     """
-    judged = _judged(docs, host, max_percent, max_documents, min_left_percent).where("not kept or gone is not null")
-    verdict = judged.groupBy("text_key").agg(F.first("kept").alias("_kept"), F.first("gone").alias("_gone"))
+    with scratch(docs.sparkSession) as keep:
+        judged = _judged(docs, host, max_documents, min_left_percent).where("n_words > 0 and (not kept or gone is not null)")
+        verdict = keep(judged.groupBy("text_key").agg(F.first("kept").alias("kept"), F.first("gone").alias("gone")), "verdicts")
     key = F.xxhash64(F.col(host).isNull(), F.col(host).cast("string"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rows = docs.withColumn("_text_key", key).join(verdict.withColumnRenamed("text_key", "_text_key"), "_text_key", "left")
-    rows = rows.where("_kept is null or _kept or doc_id is null").withColumn("_lines", F.split("text", "\n"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
-    changed = F.col("_gone").isNotNull()
-    rows = rows.withColumn("text", F.when(changed, F.array_join(left, "\n")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = docs.where(F.col("doc_id").isNull() | F.col("text").rlike(f"[^{SPACES}]"))  # a text without words is never kept
+    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("text_key")).join(verdict, "text_key", "left")
+    rows = rows.where("kept is null or kept or row.doc_id is null").withColumn("lines", F.split("row.text", "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    changed, row = F.col("gone").isNotNull(), {c: F.col("row").getField(c) for c in docs.columns}
+    row["text"] = F.when(changed, F.array_join(left, "\n")).otherwise(row["text"])
+    if "n_chars" in row:
+        row["n_chars"] = F.when(changed, F.char_length(row["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return rows.select(*(x.alias(c) for c, x in row.items()))

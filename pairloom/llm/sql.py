@@ -12,11 +12,9 @@ win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[
 cov AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE c > 1),
 rep AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id),
 raw AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS ln FROM d),
-own AS (SELECT *, lower(trim(ln, ' ')) AS line, length(ln) AS chars FROM raw WHERE regexp_matches(ln, {_WORDS})),
+own AS (SELECT *, lower(trim(ln, ' ')) AS line, length(ln) AS chars, len(regexp_extract_all(ln, {_WORDS})) AS n_line FROM raw WHERE regexp_matches(ln, {_WORDS})),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT ln) AS n, sum(chars) AS chars FROM own GROUP BY doc_id),
-total AS (SELECT host, count(DISTINCT text) AS documents FROM own GROUP BY host),
-often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM own GROUP BY host, line) JOIN total USING (host)
-          WHERE n > 20 AND 100 * n > 5 * documents),
+often AS (SELECT host, line FROM own WHERE n_line >= 3 GROUP BY host, line HAVING count(DISTINCT text) > 10),
 cut AS (SELECT doc_id, sum(chars) AS n FROM own JOIN often USING (host, line) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
       (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols FROM w)
