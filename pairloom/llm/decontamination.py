@@ -9,21 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.words import column, lower_words
+from pairloom.llm.words import column, plain_texts
 
 #: One edit for so many characters of an item.
 CHARS_PER_EDIT = 20
-#: Shorter items can't be told from chance.
-MIN_CHARS = 20
+#: Shorter items have no edits and are found as whole words only.
+WHOLE_WORDS_BELOW = 20
 #: Characters of items that one pass over the documents looks for.
 BLOCK_CHARS = 16 << 20
 
 
 def normalised(texts: pa.Array) -> list[str]:
     """Words with A-Z lower-cased and one space between them."""
-    ends, flat = lower_words(texts)
-    words = flat.to_pylist()
-    return [" ".join(words[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return plain_texts(texts)[0]
 
 
 def budget(chars: int) -> int:
@@ -93,6 +91,11 @@ class Finder:
                     continue
                 seen.add((k, begin))
                 _, item, at = self.items[k]
+                if len(item) < WHOLE_WORDS_BELOW:
+                    end = begin + len(item)
+                    if text[begin - 1 : begin] in ("", " ") and text[end : end + 1] in ("", " "):
+                        out[k] = min(out.get(k, (0, end)), (0, end))
+                    continue
                 edits = budget(len(item))
                 left = max(0, begin - edits)
                 best, end = best_match(at, len(item), text[left : begin + len(item) + edits])
@@ -126,8 +129,9 @@ def contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHA
     one row for each row of ``docs`` and item found in it: doc_id, item_id,
     distance, budget, found_end (in the normalised text). Items are taken in
     blocks of at most ``block_chars`` characters; each block is one pass over
-    the documents. Items of fewer than 20 characters or null are not looked for;
-    a null or empty document holds nothing; null ids stay null; repeated items
+    the documents. Items of fewer than 20 characters have no edits and must stand
+    as whole words; null items and those without a word are found nowhere. A
+    null or empty document holds nothing; null ids stay null; repeated items
     and documents are found once for each row.
     """
     known = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
@@ -137,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHA
     for block in range(n):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
         texts = normalised(pa.array([r.text for r in rows], pa.string()))
-        kept = [(r.item_id, t) for r, t in zip(rows, texts) if len(t) >= MIN_CHARS]
+        kept = [(r.item_id, t) for r, t in zip(rows, texts) if t]
         part = _search(docs, kept)
         found = part if found is None else found.union(part)
     return found
