@@ -54,7 +54,7 @@ def random_file(rng, rows):
     return "\n".join(out) + rng.choice(["", "\n"])
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_files(spark, tmp_path, ranges, seed):
     rng = random.Random(seed)
     text = random_file(rng, 30)
