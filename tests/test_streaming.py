@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pairloom.operators.features import pair_features
 from pairloom.operators.regression import LinearModel
 from pairloom.operators.rows import keep_last
+from pairloom.sources.sample_pairs import arriving_table, table
 from pairloom.streaming.latest import read_latest, write_latest
 from pairloom.streaming.scoring import pair_stream, score_stream
 
@@ -61,3 +64,17 @@ def test_forgotten_keys_start_anew(spark, tmp_path):
     arrive(5)
     arrive(3)  # the state of 5 has expired
     assert sorted(r.position for r in spark.read.parquet(out).collect()) == [3, 5]
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_a_table_arrives_from_one_file_or_from_a_folder(spark, tmp_path, files):
+    rows = spark.range(30).selectExpr("id AS conv_id", "id % 4 AS turn", "'user' AS role", "'x' AS text")
+    if files:
+        rows.repartition(files).write.parquet(str(tmp_path / "conversations.parquet"))
+    else:
+        rows.toPandas().to_parquet(tmp_path / "conversations.parquet")
+    folder = str(tmp_path)
+    arriving = arriving_table(spark, folder, "conversations")
+    write_latest(arriving, "conv_id", "turn", f"{folder}/out", f"{folder}/state").awaitTermination()
+    got = read_latest(spark, f"{folder}/out", "conv_id", "turn")
+    assert got.count() == 30 and got.exceptAll(table(spark, folder, "conversations")).isEmpty()
