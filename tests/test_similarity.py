@@ -154,3 +154,11 @@ def test_equal_ends_of_long_texts_cost_no_square(spark):
         b[50_000 + k * 19] = "#"
     df = spark.createDataFrame([(a, "".join(b))], "a string, b string")
     assert df.select(edit_distance(F.col("a"), F.col("b")).alias("d")).first().d == 50
+
+
+def test_equal_lists_are_not_counted(spark):
+    lists = [(["a", "b", "a"], ["a", "b", "a"]), ([], []), (["b", "a", "a"], ["a", "b", "a"])]
+    df = spark.createDataFrame(lists, "x array<string>, y array<string>")
+    rows = df.select(sm.tfidf_cosine(F.col("x"), F.col("y")), sm.common_words(F.col("x"), F.col("y"))).collect()
+    assert [r[1] for r in rows] == [3, 0, 3]
+    assert [round(r[0], 12) for r in rows] == [1.0, 0.0, 1.0]
