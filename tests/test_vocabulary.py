@@ -99,3 +99,21 @@ def test_vector_matrix_has_every_entry(spark, table):
     assert (rows["<UNK>"].idx, rows["<PAD>"].idx) == (0, 1)
     assert rows["w1"].vec == [1.0, 2.0] and rows["w1"].known
     assert rows["w2"].vec == [0.0, 0.0] and not rows["w2"].known and "absent" not in rows
+
+
+def test_a_token_is_gathered_as_one_number(spark, table, rows):
+    seqs = vb.encode(table, vb.build_vocabulary(vb.pair_tokens(table)))
+    plan = seqs._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "struct" not in plan
+    assert dict(seqs.dtypes)["seq1"] == "array<int>"
+
+
+def test_first_occurrence_of_ids_of_any_size(spark):
+    ids = [-(1 << 62), -(1 << 32) - 1, -(1 << 32), -1, 0, (1 << 32) - 1, 1 << 32, 1 << 62]
+    texts = [(i, f"a{n} b{n}", f"c{n}") for n, i in enumerate(ids)]
+    random.Random(4).shuffle(texts)
+    tokens = vb.pair_tokens(spark.createDataFrame(texts, "id long, question1 string, question2 string"))
+    got = [r.token for r in vb.build_vocabulary(tokens).orderBy("idx").collect()]
+    assert got == [f"{c}{n}" for n in range(len(ids)) for c in "abc"]
+    plan = tokens.groupBy("token").agg(*vb.first_places())._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
