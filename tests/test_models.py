@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.constants import BASIC3
 from pairloom.functions.scoring import argmax2, softmax2, threshold_decision
 from pairloom.operators import metrics as mt
 from pairloom.operators import regression as rg
@@ -118,3 +120,12 @@ def test_labels_other_than_zero_are_class_one(spark):
             logistic_gd(empty, ("x",), epochs=1)
     with pytest.raises(ValueError):
         gradient_step(rows, LinearModel(("x",), (float("nan"),), 0.0))
+
+
+def test_a_step_compiles_the_same_code_for_other_weights(table):
+    def code(weights):
+        step = rg.gradient_step(table, rg.LinearModel(BASIC3, weights, weights[0]))
+        plan = step._jdf.queryExecution().optimizedPlan().toString()
+        return [re.sub(r"#\d+L?", "", line) for line in plan.splitlines() if "LocalRelation" not in line]
+
+    assert code((0.125, -2.5, 1e-9)) == code((3.5, 0.75, 0.0625))
