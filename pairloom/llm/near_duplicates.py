@@ -172,33 +172,43 @@ def _all_across(mixed: DataFrame, signs: DataFrame, sets: DataFrame, percent: in
     Documents outside the largest component of their bucket meet all others
     whose set's size allows the similarity: sizes fall into levels, and only
     neighbouring levels meet. Both sides are cut into blocks, so that a bucket
-    of any size is spread over tasks. The low bits rule out most pairs and the
-    full sets decide where two documents meet, so only true links become rows.
+    of any size is spread over tasks. Two documents meet in the first bucket
+    that they share. Low bits go to the buckets first; only documents that these
+    leave with a partner take their full sets there, which decide where two
+    documents meet, so only true links become rows.
     """
     step = max(math.log(100 / percent), 0.01) * (1 + 1e-9)  # a little wider than the ratio of two sizes can be
     level = F.floor(F.log(F.col("n_shingles")) / step).cast("int")
-    sized = signs.join(sets, "id").where(F.size("items") == F.col("n_shingles"))
-    rows = stage(mixed.join(sized.select("id", "bits", "items", level.alias("level")), "id"), "levels")
-    outside = F.col("component") != F.col("most")
-    cells = rows.groupBy("key", "level").agg(F.count("*").alias("n"), F.count(F.when(outside, 1)).alias("few"))
-    cells = stage(cells.select(
-        "key", "level", F.ceil(F.col("n") / MANY).cast("int").alias("blocks"), F.ceil(F.col("few") / FEW).cast("int").alias("parts")), "cells")
-    few = rows.where(outside).join(cells.select("key", "level", "parts"), ["key", "level"])
-    few = few.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int")).withColumn("from", F.col("level"))
-    few = few.withColumn("level", F.explode(F.array(*(F.col("from") + k for k in (-1, 0, 1)))))
-    few = few.join(cells.select("key", "level", "blocks"), ["key", "level"]).withColumn(
+    keys = mixed.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    rows = stage(mixed.distinct().join(keys, "id").join(signs.withColumn("level", level), "id"), "levels")
+    outside = rows.where(F.col("component") != F.col("most"))
+    outside = outside.withColumn("level", F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))))
+    parts = outside.groupBy("key", "level").agg(F.ceil(F.count("*") / FEW).cast("int").alias("parts"))
+    blocks = rows.groupBy("key", "level").agg(F.ceil(F.count("*") / MANY).cast("int").alias("blocks"))
+    cells = stage(blocks.join(parts, ["key", "level"]), "cells")
+    few = outside.join(cells, ["key", "level"]).withColumn(
+        "part", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    every = rows.join(cells.select("key", "level", "blocks"), ["key", "level"]).withColumn(
+    every = rows.join(cells, ["key", "level"]).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
-        "from", F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))))
-    every = every.join(cells.where("parts > 0").select("key", F.col("level").alias("from"), "parts"), ["key", "from"]).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    every = every.select(
-        "key", "level", "from", "block", "part", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("bits").alias("other_bits"), F.col("items").alias("other_items"))
-    few = few.select("key", "level", "from", "block", "part", "id", "component", "bits", "items")
-    met = few.join(every, ["key", "level", "from", "block", "part"])
-    likely = (F.col("component") != F.col("other_component")) & (estimate("bits", "other_bits") >= least)
-    return met.where(likely & _similar("items", "other_items", percent)).select(*_pairs(F.col("id"), F.col("other"))).distinct()
+    cell, own = ["key", "level", "block", "part"], ["id", "component", "n_shingles", "keys", "bits"]
+    few = stage(few.select(*cell, *own), "few")
+    every = stage(every.select(*cell, *(F.col(c).alias(f"other_{c}") for c in own)), "every")
+
+    apart = F.col("component") != F.col("other_component")
+    small, large = (f("n_shingles", "other_n_shingles") for f in (F.least, F.greatest))
+    first = F.array_min(F.array_intersect("keys", "other_keys"))
+    likely = apart & (100 * small >= percent * large) & (estimate("bits", "other_bits") >= least)
+    together = reduce(Column.__and__, [few[c] == every[c] for c in cell]) & likely & (first == few["key"])
+    left = stage(few.join(every, together, "left_semi"), "left")
+    right = stage(every.join(few, together, "left_semi"), "right")
+    sets = stage(sets.join(left.select("id").union(right.select("other_id")).distinct(), "id", "left_semi"), "sets")
+    left = left.join(sets, "id").where(F.size("items") == F.col("n_shingles"))
+    right = right.join(sets.select(F.col("id").alias("other_id"), F.col("items").alias("other_items")), "other_id").where(
+        F.size("other_items") == F.col("other_n_shingles"))
+    met = left.join(right, cell).where(likely & (first == F.col("key")) & _similar("items", "other_items", percent))
+    return met.select(*_pairs(F.col("id"), F.col("other_id"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, margin: float = MARGIN) -> DataFrame:

@@ -227,6 +227,26 @@ def test_all_that_meet_across_components(spark, monkeypatch):
     assert got == every and len(every) > 30
 
 
+def test_full_sets_are_not_written_for_each_bucket(spark, monkeypatch):
+    """Documents that share ten buckets meet in one, and only those that low bits leave with a partner bring their sets, once."""
+    written = []
+
+    def stage(df, name, real=near_duplicates.stage):
+        out = real(df, name)
+        written.extend([out.count()] if "items" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stage", stage)
+    sets = [(k, list(range(20)) if k < 4 else list(range(100 * k, 100 * k + 20))) for k in range(12)]
+    signs = spark.createDataFrame(
+        [(k, 20, [0] * 8 if k < 4 else np.random.default_rng(k).integers(1 << 62, size=8).tolist()) for k, _ in sets],
+        "id long, n_shingles long, bits array<long>")
+    mixed = spark.createDataFrame([(key, k, k, 11) for key in range(10) for k, _ in sets], "key long, id long, component long, most long")
+    links = near_duplicates._all_across(mixed, signs, spark.createDataFrame(sets, "id long, items array<long>"), 75, 0.57)
+    assert {tuple(r) for r in links.collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert sum(written) <= 4
+
+
 def test_estimate_follows_similarity(spark):
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(1 << 63, size=900, dtype=np.uint64))
