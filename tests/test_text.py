@@ -69,6 +69,18 @@ def test_word_tokens(spark):
     assert apply(spark, lambda c: tx.sequence_tokens(c, "delete"), ["it's 3.5, ok?"]) == [["its", "35", "ok"]]
 
 
+def test_tokens_are_those_of_the_rewritten_text(spark):
+    """Both paths of ``sequence_tokens`` agree beside every character, and beside bytes that are no UTF-8."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 97 == 0 or 0xFE00 <= c < 0x10000)]
+    texts = [form.replace("#", c) for c in chars for form in ("a#B.#c. 1,#2", "#cannot can#not cannot#")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = spark.range(1 << 16).select(F.concat(
+        F.encode(F.lit("Ab"), "utf-8"), F.unhex(F.lpad(F.hex("id"), 4, "0")), F.encode(F.lit("nC"), "utf-8")).cast("string").alias("t"))
+    for rows in (df, pairs):
+        rewritten = tx.word_tokens(tx._plain(F.col("t"), "blank"))
+        assert rows.where(~tx.sequence_tokens(F.col("t")).eqNullSafe(rewritten)).limit(3).collect() == []
+
+
 def test_undecodable_bytes_are_dropped(spark):
     df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"\xff\xfe")), (3, None)], "i int, b binary")
     kept = df.select("i", F.col("b").cast("string").alias("t")).filter(tx.is_decodable(F.col("t")))
