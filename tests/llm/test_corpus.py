@@ -149,6 +149,20 @@ def test_quality_writes_texts_without_frequent_lines(spark):
     assert cut[0, 68] == 42 and cut[40, 63] == 20 and cut[30, 63] == cut[31, 63] == 0
 
 
+def test_texts_are_not_shuffled_for_few_verdicts(spark):
+    """Small verdicts are broadcast because they were measured, whatever Spark's own limit."""
+    rows = [(k, "shared line of words\n" + " ".join(f"w{k}x{i}" for i in range(60)), "a") for k in range(12)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = quality.cleaned_texts(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.text for r in got.collect()} == {t.split("\n")[1] for _, t, _ in rows}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # --- near duplicates ------------------------------------------------------------
 
 def plain_groups(rows):
