@@ -162,3 +162,30 @@ def test_equal_lists_are_not_counted(spark):
     rows = df.select(sm.tfidf_cosine(F.col("x"), F.col("y")), sm.common_words(F.col("x"), F.col("y"))).collect()
     assert [r[1] for r in rows] == [3, 0, 3]
     assert [round(r[0], 12) for r in rows] == [1.0, 0.0, 1.0]
+
+
+def _lists(rows):
+    return [(a.split(), b.split()) for a, b in rows if a and b]
+
+
+def test_lists_are_counted_by_digests(spark, rows):
+    lists = _lists(rows) + [([x], [y, x, x]) for x in "abcdefgh" for y in "ijklmnop"]
+    df = spark.createDataFrame(lists, "t1 array<string>, t2 array<string>")
+    both = df.select("t1", "t2", sm._overlap(F.col("t1"), F.col("t2")).alias("x"))
+    got = both.select("t1", "t2", sm._counted_cosine(F.col("t1"), F.col("t2")).alias("cosine"),
+                      F.when(F.col("x.shared") > 0, sm._counted_common(F.col("x"))).alias("common")).collect()
+    # A NULL would send a pair of lists to the slow count.
+    assert [r.cosine for r in got] == pytest.approx([cosine(r.t1, r.t2) for r in got])
+    hits = [sum(t in r.t2 for t in r.t1) for r in got]
+    assert [r.common or 0 for r in got] == hits and all(r.common is not None for r, n in zip(got, hits, strict=True) if n)
+
+
+def test_tokens_that_share_a_digest_are_told_apart(spark, rows, monkeypatch):
+    monkeypatch.setattr(sm, "_digest", lambda t: F.length(t).cast("long"))
+    df = spark.createDataFrame(_lists(rows), "t1 array<string>, t2 array<string>")
+    got = df.select("t1", "t2", sm.tfidf_cosine(F.col("t1"), F.col("t2")).alias("cosine"),
+                    sm.common_words(F.col("t1"), F.col("t2")).alias("common"),
+                    sm._counted_cosine(F.col("t1"), F.col("t2")).alias("digests")).collect()
+    assert [r.cosine for r in got] == pytest.approx([cosine(r.t1, r.t2) for r in got])
+    assert [r.common for r in got] == [sum(t in r.t2 for t in r.t1) for r in got]
+    assert any(r.digests is None for r in got)
