@@ -136,6 +136,21 @@ def test_features_train_and_score_alike(spark, pairs):
     assert (row.len1, row.len2, row.common) == (3, 4, 3)
 
 
+def test_features_fold_each_text_once(spark, pairs, tmp_path):
+    texts = [None, "nan", "NaN", "nAn", "nan ", "İK nan", "ΑΣ ΑΣ.", "ÅNA", "", "na"]
+    odd = spark.createDataFrame([(i, a, b, 0) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)],
+                                "id long, question1 string, question2 string, is_duplicate int")
+    odd.write.parquet(str(tmp_path / "p"))
+    odd = spark.read.parquet(str(tmp_path / "p"))
+    q1, q2 = F.col("question1"), F.col("question2")
+    alone = odd.select("id", sm.tfidf_cosine(tfidf_tokens(q1), tfidf_tokens(q2)).alias("cosine"), sm.edit_sigmoid(q1, q2).alias("edit_sig"))
+    features = pair_features(odd)
+    assert features.select(alone.columns).exceptAll(alone).count() == 0
+    assert features._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    nothing = odd.where(F.coalesce(F.lower(q1), F.lit("nan")) == "nan").select(F.sum(F.size(tfidf_tokens(q1)))).first()[0]
+    assert nothing == 0
+
+
 def test_features_need_no_shuffle(spark, pairs, tmp_path):
     pairs.write.parquet(str(tmp_path / "p"))
     plan = pair_features(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().executedPlan().toString()
