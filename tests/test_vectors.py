@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -110,6 +111,43 @@ def test_relaxed_mover_distance(spark, table, rows, limit):
         assert got[i] == pytest.approx(max(cost(a, b), cost(b, a)) if a and b else math.inf)
 
 
+def test_relaxed_mover_distance_shuffles_only_texts(spark, table, capsys):
+    _, df = make_vectors(spark, 5)
+    vc.relaxed_mover_distance(table, df.coalesce(1)).explain(mode="formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert moved and all(set(re.findall(r"(\w+)#", columns)) <= {"id", "question1", "question2"} for columns in moved)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+@pytest.mark.parametrize("batch, merge_rows", [(1, 1), (3, 4), (10_000, 1 << 16)])
+def test_relaxed_mover_distance_of_repeated_ids(spark, limit, batch, merge_rows):
+    """Rows that share an id, or have none, are one pair of bags; so are words of equal vectors."""
+    known, df = make_vectors(spark, 5)
+    known["twin"] = known["w1"]
+    df = df.union(df.where("token = 'w1'").selectExpr("'twin'", "vec"))
+    rows = [(1, "w1 w2 w2", "w3 w4"), (2, "w5", None), (1, "W2 w6 twin", "w3 w3 w7"), (3, "w8 w9", "w9"), (None, "w1", "w2"),
+            (None, "w3 w3 unknown", "w1 twin"), (1, "", "unknown"), (4, None, None), (None, "w3", ""), (5, " ", "w1")]
+    table = spark.createDataFrame(rows, "id long, question1 string, question2 string").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = vc.relaxed_mover_distance(table, df, limit, merge_rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = {r.id: r.rwmd for r in found}
+    assert len(got) == len(found) and set(got) == {r[0] for r in rows}
+
+    def bag(i, side):
+        return [w for r in rows if r[0] == i for w in (r[side] or "nan").lower().split() if w in known]
+
+    def cost(a, b):
+        return sum(min(np.linalg.norm(known[x] - known[y]) for y in b) for x in a) / len(a)
+
+    for i in got:
+        a, b = bag(i, 1), bag(i, 2)
+        assert got[i] == pytest.approx(max(cost(a, b), cost(b, a)) if a and b else math.inf)
+
+
 def test_batch_normalisation(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(30, 4))
