@@ -67,6 +67,52 @@ def test_word_vector_sources(spark, pairs, tmp_path):
     assert read.count() == vocab.count()
 
 
+def test_following_texts_are_moved_only_where_they_are_read(spark, tmp_path):
+    ids = [*range(-9, 26), 40, 7, 7, 8, 3, None]
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    texts = [tuple(r) for r in docs.collect()]
+
+    def rest(i, n):
+        return i - n * int(i / n)  # with the sign of i
+
+    reads = {i for i in range(-11, 42) if rest(i, 4) not in (0, 1) and rest(i, 8) != 3}
+    moved = sorted((r.id, r.next_text or "") for r in sp.following_texts(docs.dropna()).collect())
+    assert moved == sorted((i - 1, t if i - 1 in reads else "") for i, t in texts if i is not None)
+    missing = ("", "NaN", "null", "N/A", None)
+
+    def second(i, text, after):
+        if i is not None and rest(i, 4) == 0:
+            return text
+        if i is not None and rest(i, 4) == 1:
+            return "well " * (i % 9) + text + " ?"
+        if i is not None and rest(i, 4) == 2:
+            return after
+        if i is not None and rest(i, 8) == 3:
+            return missing[i // 8 % 5]
+        return f"{after} {text}" if after else None
+
+    want = []
+    for i, text in texts:
+        after = [t for j, t in texts if i is not None and j == i + 1] or [None]
+        want += [(i, text, second(i, text, a)) for a in after]
+    got = [tuple(r) for r in sp.pairs_of_documents(docs, docs).select("id", "question1", "question2").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+    turns = [(c, t, f"turn {c} {t} {k}") for k, (c, t) in enumerate([(c, t) for c in range(4) for t in range(5)] + [(1, 2), (2, 3), (None, 1), (3, None)])]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    sent = sp.following_turns(sp.table(spark, str(tmp_path), "conversations").dropna()).collect()
+    assert sorted((r.conv_id, r.turn, r.next_text or "") for r in sent) == sorted(
+        (c, t - 1, x if (c + t - 1) % 3 else "") for c, t, x in turns if None not in (c, t))
+    want = []
+    for c, t, text in turns:
+        named = None not in (c, t)
+        for after in [x for d, u, x in turns if named and (d, u) == (c, t + 1)] or [None]:
+            again = named and (c + t) % 3 == 0
+            want.append((c * 1_000_000 + t if named else None, text, "well " * ((c + t) % 9) + text + " ?" if again else after))
+    got = [tuple(r) for r in sp.test_pairs(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_feature_model_end_to_end(spark):
     test = sp.test_pairs(spark, SF)
     run = run_feature_model(sp.train_pairs(spark, SF), test)
